@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import mixing
+from graphloom.llm import mixing, secrets, sharding
 from graphloom.llm.common import read
 
 
@@ -14,4 +14,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix_sources": op1_mix_sources}
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents")).drop("found")
+
+
+def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(read(spark, sf_dir, "documents"), 24)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op9_shard)}
