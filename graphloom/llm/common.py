@@ -61,6 +61,14 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], nam
     return out.drop("__pid", *(f"__{x}_{k}" for x in "vo" for k in sums))
 
 
+def sampled(df: DataFrame, key: list[Column], n: int) -> DataFrame:
+    """At most n rows, the first by hash of the key, one for each hash. A share of the hashes that holds a few times n rows is cut
+    off first, so that no partition sends more than its part of those."""
+    share = min(1.0, (3.0 * n + 50) / max(1, df.count()))
+    out = df.withColumn("__h", F.xxhash64(*key)).filter(F.shiftrightunsigned("__h", 11) < int(share * (1 << 53)))
+    return out.dropDuplicates(["__h"]).orderBy("__h").limit(n).drop("__h")
+
+
 def texts_in(batches: Iterator, columns: list[str], rows: int = 256) -> Iterator[tuple[list, ...]]:
     """Lists of the named columns' values, a few hundred rows at a time."""
     for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import mixing, secrets, sharding, toxicity
+from graphloom.llm import mixing, secrets, sharding, tokens, toxicity
 from graphloom.llm.common import read
 
 
@@ -18,6 +18,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents")).drop("found")
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fitted(docs, read(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
@@ -28,4 +34,4 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(read(spark, sf_dir, "documents"), 24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op7_toxicity, op9_shard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op4_token_ids, op7_toxicity, op9_shard)}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import texts_in
+from graphloom.llm.common import sampled, texts_in
 
 # The three base rules, by kind.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -106,9 +106,10 @@ def identifiers(n: int, seed: int = 12) -> list[str]:
 
 def fitted(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE_DOCUMENTS) -> MarkovPair:
     """Trained from synthetic samples, and from at most `sample` documents: what the rules match there is labelled secret, all other words ordinary."""
-    rows = docs.select(F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).filter(F.length("t") <= SAMPLE_CHARS).orderBy("h", "t").limit(sample).collect()
+    rows = docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("i")).filter(F.col("t").isNotNull())
+    rows = sampled(rows, [F.col("i"), F.col("t")], sample).filter(F.length("t") <= SAMPLE_CHARS).select("t").collect()
     secrets, ordinary = random_strings(4000), identifiers(4000)
-    for (text, _) in rows:
+    for (text,) in rows:
         rest = list(text)
         for a, _, b in base_spans(text):
             secrets.append(re.split(r"[:=\"' ]+", text[a:b])[-1])

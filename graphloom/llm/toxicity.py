@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import texts_in
+from graphloom.llm.common import sampled, texts_in
 
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 THRESHOLD = 0.7
@@ -149,7 +149,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     got = []
     for y in (0, 1):
         # the sample is chosen among ids first, so that only its texts are joined
-        some = own.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+        some = sampled(own.filter(F.col("__y") == y), [F.col("__id")], sample)
         got += rows.join(F.broadcast(some), "__id").select("__id", "__t", "__y").collect()  # a bounded number of rows
     got.sort(key=lambda r: (r["__y"], r["__id"]))
     bags = [[TOKEN.findall(r["__t"][a:b].lower()) for a, b in sentences(r["__t"])] for r in got]
