@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import mixing, neighbours, secrets, sharding, tokens, toxicity
+from graphloom.llm import decontaminate, mixing, neighbours, secrets, sharding, tokens, toxicity
 from graphloom.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), 50)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.found(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fitted(docs, read(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
@@ -38,4 +42,4 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(read(spark, sf_dir, "documents"), 24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op4_token_ids, op5_nearest, op7_toxicity, op9_shard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op4_token_ids, op5_nearest, op6_decontaminate, op7_toxicity, op9_shard)}
