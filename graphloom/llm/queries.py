@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, mixing, neardup, neighbours, secrets, sharding, tokens, toxicity
+from graphloom.llm import decontaminate, lines, mixing, neardup, neighbours, secrets, sharding, spans, tokens, toxicity
 from graphloom.llm.common import read
 
 
@@ -42,8 +42,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).drop("offending")
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(read(spark, sf_dir, "documents"), 24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_near_duplicates, op4_token_ids, op5_nearest, op6_decontaminate, op7_toxicity, op9_shard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_near_duplicates, op4_token_ids, op5_nearest, op6_decontaminate, op7_toxicity, op8_sentence_spans, op9_shard, op10_line_dedup)}
