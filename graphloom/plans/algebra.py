@@ -269,3 +269,8 @@ def expression_variables(e: Any) -> set[str]:
     if isinstance(e, Exists):
         return set(variables(e.pattern))
     return set()
+
+
+def variables_of(q: Quoted) -> set[str]:
+    """Variables inside a quoted triple."""
+    return {n.name for n in (q.s, q.p, q.o) if isinstance(n, Var)}.union(*(variables_of(n) for n in (q.s, q.p, q.o) if isinstance(n, Quoted)))
