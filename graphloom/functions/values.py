@@ -91,7 +91,7 @@ def constant(node: Node) -> Val:
         if node.lang:
             return Val("lang", F.lit(node.value), node.lang)
         kind = KIND_OF.get(node.datatype)
-        if kind and node.datatype == NATIVE[kind][0] and kind != "dur" and not (kind == "dt" and zoneless(node.value)) and kind != "date":
+        if kind and node.datatype == NATIVE[kind][0] and not (kind == "dt" and zoneless(node.value)) and kind != "date":
             return Val(kind, F.lit(node.value) if kind == "str" else parsed(F.lit(node.value), kind))
         return Val("term", term_struct(LITERAL, F.lit(node.value), node.datatype))
     if isinstance(node, Quoted):
