@@ -5,8 +5,9 @@ Equal variants meet: lines that agree without the same character differ by a sub
 by an insertion. A key gives each member the earliest other one by a minimum, so that no pairs of a group are ever listed; the
 edit distance of a line and what it found is then verified, and the earliest stays.
 
-Only lines that can have a partner need to emit variants: of two lines within one edit, the first or the second half is equal. Lines that
-share no half with any other distinct line are left out beforehand, which loses nothing. Only DataFrame functions are used.
+Only lines that can have a partner need to emit variants: cut both of two lines within one edit into parts alike, and all parts
+but one agree. Lines that share no half with any other distinct line are left out first, then those that share no line but one
+part in PARTS, which loses nothing. Only DataFrame functions are used.
 
 Defined results: lines are compared without white space at their ends; blank lines stay and count as no line; lines under
 FUZZY_FROM characters are only compared whole; the order is by id (null first), then the text's hash, then place, so equal rows
@@ -18,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import join_counted, staged
+from graphloom.llm.common import join_counted, prefix_sums, staged
 
-FUZZY_FROM = 20
+FUZZY_FROM, PARTS = 20, 16
 
 
 def place() -> Column:
@@ -28,34 +29,41 @@ def place() -> Column:
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", "")
+    return F.btrim(line, F.lit("\t\n\x0b\x0c\r "))
 
 
-def halves(line: Column, n: Column) -> Column:
-    """Hashes of both halves, for a partner of the same length or longer, and for a shorter one."""
+def but_one(line: Column, n: Column, parts: int) -> Column:
+    """Hashes of the line without each of its parts, for a partner of the same length or longer, and for a shorter one."""
 
-    def of(m: Column) -> list[Column]:
-        f = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit("p"), m, F.substring(line, F.lit(1), f)), F.xxhash64(F.lit("s"), m, F.substring(line, n - (m - f) + 1, m - f))]
+    def of(m: Column, i: int) -> Column:
+        a, z = F.floor(m * i / parts).cast("int"), F.floor(m * (i + 1) / parts).cast("int")
+        return F.xxhash64(F.lit(i), m, F.substring(line, F.lit(1), a), F.substring(line, n - (m - z) + 1, m - z))
 
-    return F.array(*of(n), *of(n - 1))
+    return F.array(*(of(m, i) for m in (n, n - 1) for i in range(parts)))
 
 
 def distinct_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines (__id, __tie, __pos, __hash), and the distinct ones (__hash, first, n, halves)."""
     lines = rows.select("__id", "__tie", F.posexplode(F.split("__text", "\n")).alias("__pos", "__line")).withColumn("__line", trimmed(F.col("__line"))).filter("__line <> ''")
     n = F.length("__line")
-    lines = lines.select("__id", "__tie", "__pos", F.unhex(F.md5("__line")).alias("__hash"), F.when(n >= FUZZY_FROM, halves(F.col("__line"), n)).alias("__halves"))
+    lines = lines.select("__id", "__tie", "__pos", F.unhex(F.md5("__line")).alias("__hash"), F.when(n >= FUZZY_FROM, but_one(F.col("__line"), n, 2)).alias("__halves"))
     lines = staged(lines, "line-all")
     distinct = lines.groupBy("__hash").agg(F.min(place()).alias("__first"), F.count(F.lit(1)).alias("__n"), F.first("__halves").alias("__halves"))
     return lines, staged(distinct, "line-distinct")
 
 
+def sharing(rows: DataFrame, keys: Column, name: str) -> DataFrame:
+    """(__line_id) of the rows (__line_id ...) that share one of their keys with another row."""
+    each = staged(rows.select("__line_id", F.explode(F.array_distinct(keys)).alias("__key")), name)
+    shared = each.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__key")
+    return each.join(shared.hint("shuffle_merge"), "__key", "left_semi").select("__line_id").distinct()
+
+
 def hopeful(distinct: DataFrame) -> DataFrame:
     """(__hash, __first) of the distinct lines that share a half with another one."""
-    keys = staged(distinct.filter("__halves is not null").select("__hash", "__first", F.explode(F.array_distinct("__halves")).alias("__half")), "line-halves")
-    shared = keys.groupBy("__half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__half")
-    return staged(keys.join(shared.hint("shuffle_merge"), "__half", "left_semi").select("__hash", "__first").distinct(), "line-hopeful")
+    rows = distinct.withColumn("__line_id", F.xxhash64("__hash"))
+    found = sharing(rows.filter("__halves is not null").select("__line_id", "__halves"), F.col("__halves"), "line-halves")
+    return staged(rows.join(found.hint("shuffle_merge"), "__line_id", "left_semi").select("__hash", "__first"), "line-hopeful")
 
 
 def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -71,22 +79,23 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def earlier_near(texts: DataFrame) -> DataFrame:
     """(__hash) of the lines that have an earlier distinct line within one edit."""
-    p = F.explode(F.sequence(F.lit(1), F.length("__line"))).alias("__p")
-    variants = texts.select("__hash", "__first", "__line", p)
-    without = F.concat(F.substring("__line", F.lit(1), F.col("__p") - 1), F.substring("__line", F.col("__p") + 1, F.length("__line")))
-    variants = variants.select("__hash", "__first", "__p", F.xxhash64(without).alias("__v"))
-    own = F.struct("__first", "__hash")
+    n = F.length("__line")
+    texts = staged(prefix_sums(texts, [F.col("__first"), F.col("__hash")], {"__line_id": F.lit(1)}, "line-numbers"), "line-numbered")  # by first place
+    close = sharing(texts.select("__line_id", "__line"), but_one(F.col("__line"), n, PARTS), "line-parts")
+    texts = staged(texts.join(close.hint("shuffle_merge"), "__line_id", "left_semi"), "line-close")
+    variants = texts.select("__line_id", "__line", F.explode(F.sequence(F.lit(1), n)).alias("__p"))
+    without = F.concat(F.substring("__line", F.lit(1), F.col("__p") - 1), F.substring("__line", F.col("__p") + 1, n))
+    variants = variants.select("__line_id", "__p", F.xxhash64(without).alias("__v"))
     # kind 0: without the character at a place; 1: without some character; 2: the line itself
-    each = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.xxhash64("__v", "__p").alias("key")), F.struct(F.lit(1).alias("kind"), F.xxhash64("__v", F.lit(0)).alias("key"))))
-    emitted = variants.select(own.alias("__own"), each.alias("__k")).select("__own", "__k.kind", "__k.key")
-    whole = texts.select(own.alias("__own"), F.lit(2).alias("kind"), F.xxhash64(F.xxhash64("__line"), F.lit(0)).alias("key"))
-    emitted = staged(emitted.unionAll(whole).distinct(), "line-variants")
-    met = emitted.groupBy("key").agg(F.min(F.when(F.col("kind") < 2, F.col("__own"))).alias("cut"), F.min(F.when(F.col("kind") == 2, F.col("__own"))).alias("full"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    each = F.inline(F.array(F.struct(F.lit(0).cast("byte").alias("kind"), F.xxhash64("__v", "__p").alias("key")), F.struct(F.lit(1).cast("byte").alias("kind"), F.xxhash64("__v", F.lit(0)).alias("key"))))
+    whole = texts.select("__line_id", F.lit(2).cast("byte").alias("kind"), F.xxhash64(F.xxhash64("__line"), F.lit(0)).alias("key"))
+    emitted = staged(variants.select("__line_id", each).unionAll(whole), "line-variants")
+    met = emitted.groupBy("key").agg(F.min(F.when(F.col("kind") < 2, F.col("__line_id"))).alias("cut"), F.min(F.when(F.col("kind") == 2, F.col("__line_id"))).alias("full"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     partner = F.when(F.col("kind") == 1, F.col("full")).otherwise(F.col("cut"))
-    found = emitted.join(met.hint("shuffle_merge"), "key").withColumn("__other", partner).filter(F.col("__other.__first") < F.col("__own.__first"))
-    found = found.groupBy(F.col("__own.__hash").alias("__hash")).agg(F.min("__other").alias("__o")).select("__hash", F.col("__o.__hash").alias("__near"))
-    found = found.join(texts.select("__hash", "__line").hint("shuffle_merge"), "__hash")
-    found = found.join(texts.select(F.col("__hash").alias("__near"), F.col("__line").alias("__earlier")).hint("shuffle_merge"), "__near")
+    found = emitted.join(met.hint("shuffle_merge"), "key").withColumn("__near", partner).filter(F.col("__near") < F.col("__line_id"))
+    found = found.groupBy("__line_id").agg(F.min("__near").alias("__near"))
+    found = found.join(texts.hint("shuffle_merge"), "__line_id")
+    found = found.join(texts.select(F.col("__line_id").alias("__near"), F.col("__line").alias("__earlier")).hint("shuffle_merge"), "__near")
     return found.filter(F.levenshtein("__line", "__earlier", 1) >= 0).select("__hash")
 
 
