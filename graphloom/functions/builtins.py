@@ -81,7 +81,7 @@ def arithmetic(op: str, x: Val, y: Val) -> Val:
     dt = F.when(exact_int, XSD + "integer").when(top <= 1, XSD + "decimal").when(top == 2, XSD + "float").otherwise(XSD + "double")
     lex = F.when(top <= 1, text_of(e)).otherwise(text_of(approx))
     out = F.when(ok & lex.isNotNull(), term_struct(LITERAL, lex, dt))
-    if op in "+-":
+    if op in "+-" and x.kind not in RANK and y.kind not in RANK:
         moved = instant(x) + interval(y) if op == "+" else instant(x) - interval(y)
         out = F.when(instant(x).isNotNull() & interval(y).isNotNull(), as_term(Val("dt", moved)).col).otherwise(out)
         both = interval(x) + interval(y) if op == "+" else interval(x) - interval(y)

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.engine import Engine
+from graphloom.operators import canon, fulltext, inference, shacl
+from graphloom.plans.algebra import AFN, EXT, FN, RDF, RDFS, XSD
 from graphloom.sources.mapped import KEYS, REFS, tables_in
-from graphloom.plans.algebra import EXT, FN, AFN, RDF, RDFS, XSD
+from graphloom.sources.quads import QuadSource
+from graphloom.store import Store
+from graphloom.streaming.views import Handlers
 
 PREFIXES = {"xsd": XSD, "rdf": RDF, "rdfs": RDFS, "fn": FN, "afn": AFN, "ext": EXT, "t": "urn:table:"}
 PREFIXES |= {n: f"urn:col:{n}#" for n in KEYS} | {f"{n}_": f"urn:ref:{n}#" for n in REFS}
@@ -120,3 +126,176 @@ def _query(tables: str, sparql: str) -> Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(t, q) for n, (t, q, _) in PAIRS.items()}
 SQL: dict[str, str] = {n: sql for n, (_, _, sql) in PAIRS.items()}
+
+
+# Queries that need more than one SPARQL text: other forms, graphs, updates, inference, shapes, text.
+
+
+def _engine(spark: SparkSession, folder: str, tables: str) -> Engine:
+    return Engine(spark, tables_in(spark, folder, tables.split()), PREFIXES)
+
+
+def _quads(spark: SparkSession, folder: str, tables: str) -> QuadSource:
+    return tables_in(spark, folder, tables.split()).quads()
+
+
+def _by_table(spark: SparkSession, folder: str, tables: str) -> QuadSource:
+    """The mapped quads, each table in a named graph."""
+    q = _quads(spark, folder, tables).quads
+    return QuadSource(q.withColumn("g", F.concat(F.lit("urn:g:"), F.regexp_extract("s.lex", "^urn:row:([a-z]+)/", 1))))
+
+
+def ask(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder, "orders").ask_frame("ASK { ?o orders:o_totalprice ?t FILTER(?t > 400000) }")
+
+
+def ask_false(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark, folder, "nation").ask_frame('ASK { ?n nation:n_name "Atlantis" }')
+
+
+def construct(spark: SparkSession, folder: str) -> DataFrame:
+    t = _engine(spark, folder, "nation region").query("CONSTRUCT { ?r <urn:has> ?n } WHERE { ?x nation:n_name ?n ; nation_:n_regionkey ?r }").triples
+    return t.select(F.col("s.lex").alias("s"), F.col("p.lex").alias("p"), F.col("o.lex").alias("o"))
+
+
+def construct_count(spark: SparkSession, folder: str) -> DataFrame:
+    t = _engine(spark, folder, "customer").query("CONSTRUCT { ?s a <urn:Segment> } WHERE { ?c customer:c_mktsegment ?m BIND(IRI(CONCAT('urn:s:', ?m)) AS ?s) }").triples
+    return t.agg(F.count(F.lit(1)).alias("n"))
+
+
+def describe(spark: SparkSession, folder: str) -> DataFrame:
+    t = _engine(spark, folder, "region nation").query("DESCRIBE ?n WHERE { ?n nation_:n_regionkey <urn:row:region/1> }").triples
+    return t.groupBy(F.col("s.lex").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def graph_var(spark: SparkSession, folder: str) -> DataFrame:
+    return Engine(spark, _by_table(spark, folder, "nation region"), PREFIXES).select("SELECT ?g (COUNT(*) AS ?n) { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g")
+
+
+def graph_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    return Engine(spark, _by_table(spark, folder, "nation region"), PREFIXES).select("SELECT (STR(?n) AS ?name) { GRAPH <urn:g:region> { ?x region:r_name ?n } }")
+
+
+def graph_join(spark: SparkSession, folder: str) -> DataFrame:
+    return Engine(spark, _by_table(spark, folder, "nation region"), PREFIXES).select("SELECT (STR(?a) AS ?n) (STR(?b) AS ?r) { GRAPH <urn:g:nation> { ?x nation:n_name ?a ; nation_:n_regionkey ?y } GRAPH ?h { ?y region:r_name ?b } }")
+
+
+def from_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return Engine(spark, _by_table(spark, folder, "nation region"), PREFIXES).select("SELECT (COUNT(*) AS ?n) FROM <urn:g:nation> { ?s ?p ?o }")
+
+
+def from_named(spark: SparkSession, folder: str) -> DataFrame:
+    return Engine(spark, _by_table(spark, folder, "nation region"), PREFIXES).select("SELECT DISTINCT ?g FROM NAMED <urn:g:nation> { GRAPH ?g { ?s ?p ?o } }")
+
+
+def select_distinct_graphs(spark: SparkSession, folder: str) -> DataFrame:
+    return Engine(spark, _by_table(spark, folder, "nation region"), PREFIXES).select("SELECT DISTINCT ?g { GRAPH ?g { ?s ?p ?o } }")
+
+
+def union_default_graph(spark: SparkSession, folder: str) -> DataFrame:
+    source = replace(_by_table(spark, folder, "nation region"), union=True)
+    return Engine(spark, source, PREFIXES).select("SELECT (COUNT(*) AS ?n) { ?x nation_:n_regionkey ?y . ?y region:r_name ?r }")
+
+
+def quads_star(spark: SparkSession, folder: str) -> DataFrame:
+    """The same engine over generic quads: values keep their datatypes."""
+    return Engine(spark, _quads(spark, folder, "part"), PREFIXES).select("SELECT (xsd:integer(?k) AS ?id) (xsd:integer(?s) + 1 AS ?size) (STR(?b) AS ?brand) { ?p part:p_partkey ?k ; part:p_size ?s ; part:p_brand ?b FILTER(?s >= 45) }")
+
+
+def quads_aggregate(spark: SparkSession, folder: str) -> DataFrame:
+    return Engine(spark, _quads(spark, folder, "part"), PREFIXES).select("SELECT (STR(?b) AS ?brand) (xsd:integer(SUM(?s)) AS ?total) (xsd:integer(MAX(?s)) AS ?most) (COUNT(DISTINCT ?s) AS ?sizes) { ?p part:p_size ?s ; part:p_brand ?b } GROUP BY ?b")
+
+
+def quoted_triples(spark: SparkSession, folder: str) -> DataFrame:
+    e = _engine(spark, folder, "nation")
+    stated = e.query("CONSTRUCT { << ?x <urn:key> ?k >> <urn:name> ?n } WHERE { ?x nation:n_nationkey ?k ; nation:n_name ?n }").triples
+    quads = stated.select("s", F.col("p.lex").alias("p"), "o", F.lit(None).cast("string").alias("g"))
+    return Engine(spark, QuadSource(quads), PREFIXES).select("SELECT (xsd:integer(?k) AS ?key) (STR(?n) AS ?name) { << ?x <urn:key> ?k >> <urn:name> ?n FILTER(?k < 10) }")
+
+
+def _updated(spark: SparkSession, folder: str, tables: str, text: str) -> Store:
+    s = Store(spark, _quads(spark, folder, tables), PREFIXES)
+    s.update(text)
+    return s
+
+
+def update_insert_delete(spark: SparkSession, folder: str) -> DataFrame:
+    s = _updated(spark, folder, "nation", "DELETE { ?x nation:n_name ?n } INSERT { ?x <urn:label> ?u } WHERE { ?x nation:n_name ?n ; nation:n_nationkey ?k BIND(LCASE(?n) AS ?u) FILTER(?k < 5) } ; INSERT DATA { <urn:new> nation:n_name 'Nowhere' } ; DELETE WHERE { ?y nation:n_regionkey ?r }")
+    return s.source.quads.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
+def update_graphs(spark: SparkSession, folder: str) -> DataFrame:
+    s = _updated(spark, folder, "region", "INSERT { GRAPH <urn:g:a> { ?x region:r_name ?n } } WHERE { ?x region:r_name ?n } ; COPY <urn:g:a> TO <urn:g:b> ; ADD DEFAULT TO <urn:g:b> ; MOVE <urn:g:a> TO <urn:g:c> ; CLEAR DEFAULT")
+    return s.source.quads.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rdfs_subclass(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers are of their nation's class, and nations are sub-classes of their regions."""
+    t = _engine(spark, folder, "region nation customer").query("CONSTRUCT { ?n rdfs:subClassOf ?r . ?c a ?n } WHERE { ?n nation_:n_regionkey ?r . ?c customer_:c_nationkey ?n }").triples
+    data = QuadSource(t.select("s", F.col("p.lex").alias("p"), "o", F.lit(None).cast("string").alias("g")))
+    return Engine(spark, inference.rdfs(data), PREFIXES).select("SELECT (STR(?r) AS ?class) (COUNT(DISTINCT ?c) AS ?n) { ?c a ?r FILTER(STRSTARTS(STR(?r), 'urn:row:region/')) } GROUP BY ?r")
+
+
+def rules_transitive(spark: SparkSession, folder: str) -> DataFrame:
+    q = _quads(spark, folder, "region nation supplier").quads.filter(F.col("p").startswith("urn:ref:"))
+    got = inference.rules(QuadSource(q), "{ ?s supplier_:s_nationkey ?n . ?n nation_:n_regionkey ?r } => { ?s <urn:in> ?r } .", PREFIXES)
+    return Engine(spark, got, PREFIXES).select("SELECT (STR(?r) AS ?region) (COUNT(*) AS ?n) { ?s <urn:in> ?r } GROUP BY ?r")
+
+
+SHAPES = """@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix c: <urn:col:customer#> .
+<urn:S> a sh:NodeShape ; sh:targetClass <urn:table:customer> ; sh:property [ sh:path c:c_acctbal ; sh:minCount 1 ; sh:minInclusive 0 ] ;
+ sh:property [ sh:path c:c_mktsegment ; sh:in ("BUILDING" "MACHINERY") ] ; sh:property [ sh:path c:c_name ; sh:maxLength 5 ; sh:datatype xsd:string ] ; sh:property [ sh:path c:c_phone ; sh:minCount 1 ] ."""
+
+
+def shacl_validate(spark: SparkSession, folder: str) -> DataFrame:
+    found = shacl.validate(_quads(spark, folder, "customer"), SHAPES)
+    return found.groupBy(F.regexp_extract("component", "#(.*)Constraint", 1).alias("component")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fulltext_match(spark: SparkSession, folder: str) -> DataFrame:
+    return fulltext.contains_words(spark.read.parquet(f"{folder}/documents.parquet"), "text", "the and was").select("doc_id")
+
+
+def fulltext_counts(spark: SparkSession, folder: str) -> DataFrame:
+    index = fulltext.TextIndex.of(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
+    return index.postings.filter(F.col("word").isin("the", "and", "was")).groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+
+
+def handlers_by_predicate(spark: SparkSession, folder: str) -> DataFrame:
+    return Handlers(_quads(spark, folder, "region nation").quads).only(F.col("o.kind") == 2).by_predicate()
+
+
+def graph_difference(spark: SparkSession, folder: str) -> DataFrame:
+    a = _quads(spark, folder, "region")
+    b = QuadSource(a.quads.filter(F.col("p") != "urn:col:region#r_name"))
+    removed, added = canon.difference(a, b)
+    return removed.agg(F.count(F.lit(1)).alias("removed")).crossJoin(added.agg(F.count(F.lit(1)).alias("added")))
+
+
+QUERIES |= {f.__name__: f for f in (ask, ask_false, construct, construct_count, describe, graph_var, graph_fixed, graph_join, from_graph, from_named, select_distinct_graphs, union_default_graph, quads_star, quads_aggregate, quoted_triples, update_insert_delete, update_graphs, rdfs_subclass, rules_transitive, shacl_validate, fulltext_match, fulltext_counts, handlers_by_predicate, graph_difference)}
+SQL |= {
+    "ask": "SELECT count(*) > 0 AS answer FROM orders WHERE o_totalprice > 400000",
+    "ask_false": "SELECT count(*) > 0 AS answer FROM nation WHERE n_name = 'Atlantis'",
+    "construct": "SELECT 'urn:row:region/' || n_regionkey AS s, 'urn:has' AS p, n_name AS o FROM nation",
+    "construct_count": "SELECT count(DISTINCT c_mktsegment) AS n FROM customer",
+    "describe": "SELECT 'urn:row:nation/' || n_nationkey AS s, 5::BIGINT AS n FROM nation WHERE n_regionkey = 1",
+    "graph_var": "SELECT 'urn:g:nation' AS g, count(*) * 5 AS n FROM nation UNION ALL SELECT 'urn:g:region', count(*) * 3 FROM region",
+    "graph_fixed": "SELECT r_name AS name FROM region",
+    "graph_join": "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "from_graph": "SELECT count(*) * 5 AS n FROM nation",
+    "from_named": "SELECT 'urn:g:nation' AS g",
+    "select_distinct_graphs": "SELECT * FROM (VALUES ('urn:g:nation'), ('urn:g:region')) v(g)",
+    "union_default_graph": "SELECT count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "quads_star": "SELECT p_partkey AS id, CAST(p_size + 1 AS BIGINT) AS size, p_brand AS brand FROM part WHERE p_size >= 45",
+    "quads_aggregate": "SELECT p_brand AS brand, CAST(sum(p_size) AS BIGINT) AS total, CAST(max(p_size) AS BIGINT) AS most, count(DISTINCT p_size) AS sizes FROM part GROUP BY 1",
+    "quoted_triples": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name FROM nation WHERE n_nationkey < 10",
+    "update_insert_delete": "SELECT * FROM (SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, count(*) AS n FROM nation UNION ALL SELECT 'urn:col:nation#n_nationkey', count(*) FROM nation UNION ALL SELECT 'urn:col:nation#n_name', count(*) - 5 + 1 FROM nation UNION ALL SELECT 'urn:label', 5 UNION ALL SELECT 'urn:ref:nation#n_regionkey', count(*) FROM nation)",
+    "update_graphs": "SELECT 'urn:g:b' AS g, count(*) * 3 AS n FROM region UNION ALL SELECT 'urn:g:c', count(*) FROM region",
+    "rdfs_subclass": "SELECT 'urn:row:region/' || n_regionkey AS class, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    "rules_transitive": "SELECT 'urn:row:region/' || n_regionkey AS region, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
+    "shacl_validate": "SELECT * FROM (SELECT 'MinInclusive' AS component, count(*) AS n FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'In', count(*) FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') UNION ALL SELECT 'MaxLength', count(*) FROM customer WHERE length(c_name) > 5 UNION ALL SELECT 'MinCount', count(*) FROM customer) WHERE n > 0",
+    "fulltext_match": "SELECT doc_id FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+') AS w FROM documents) WHERE list_contains(w, 'the') AND list_contains(w, 'and') AND list_contains(w, 'was')",
+    "fulltext_counts": "SELECT word, count(DISTINCT doc_id) AS docs, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS word FROM documents) WHERE word IN ('the', 'and', 'was') GROUP BY 1",
+    "handlers_by_predicate": "SELECT * FROM (SELECT 'urn:col:nation#n_nationkey' AS p, count(*) AS n FROM nation UNION ALL SELECT 'urn:col:nation#n_name', count(*) FROM nation UNION ALL SELECT 'urn:col:nation#n_regionkey', count(*) FROM nation UNION ALL SELECT 'urn:col:region#r_regionkey', count(*) FROM region UNION ALL SELECT 'urn:col:region#r_name', count(*) FROM region)",
+    "graph_difference": "SELECT count(*) AS removed, 0::BIGINT AS added FROM region",
+}
