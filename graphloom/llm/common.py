@@ -26,9 +26,18 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read from there: cuts lineage and survives lost executors."""
+#: Rows of a narrow table that one file may hold.
+ROWS_A_FILE = 200_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None, heavy: bool = False) -> DataFrame:
+    """df written once to the shared folder and read from there: cuts lineage and survives lost executors. rows: how many narrow
+    rows there are at most, where that was counted; they then go to as few files as hold them. heavy: making them takes wide rows,
+    so that the tasks that do it stay as many as they are."""
     spark, path = df.sparkSession, staged_path(df.sparkSession, name)
+    if rows is not None:
+        n = 1 + rows // ROWS_A_FILE
+        df = df.repartition(n) if heavy else df.coalesce(n)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

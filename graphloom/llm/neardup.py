@@ -31,7 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and coordinates in each, of the first round and of those that follow: at the similarity above, a pair shares no band
 #: with a chance of 3e-6 and 6e-4.
 FIRST, LATER = (32, 5), (40, 8)
-MOST_ROUNDS = 4
+#: Rounds after the first, which end as soon as one joins nothing, and the leaders that a bucket has in them.
+MOST_ROUNDS, LEADERS = 6, 4
 _RNG = np.random.default_rng(9)
 _TURN = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
@@ -65,37 +66,51 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 
 def darts(elements: np.ndarray, weights: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """The signature: for each of k coordinates the earliest dart's number. Weights are positive."""
-    region, filled = units(elements, np.asarray(weights, np.float64))
-    region = region ^ mixed(np.array([seed + 1], np.uint64))
-    whole, limit = float(np.sum(weights)), (np.log(k) + 3.0) * k / float(np.sum(weights))
-    while True:
-        # darts reach a region at the times of a Poisson process: the next follows after an exponential pause
-        time, live, n = np.zeros(len(region)), np.arange(len(region)), 0
-        numbers, times = [], []
-        while len(live):
-            h = mixed(region[live] + np.uint64((n * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            time[live] -= np.log(uniform(h))
-            live_now = time[live] <= limit
-            live, h = live[live_now], h[live_now]
-            inside = uniform(mixed(h + np.uint64(1))) <= filled[live]
-            numbers.append(h[inside])
-            times.append(time[live][inside])
-            n += 1
-        number, at = np.concatenate(numbers), np.concatenate(times)
-        order = np.argsort(-at, kind="stable")  # the earliest is written last, and stays
-        out, hit = np.zeros(k, np.uint64), np.zeros(k, bool)
-        place = (mixed(number ^ np.uint64(0xABCDEF)) % np.uint64(k)).astype(np.int64)
-        out[place[order]] = number[order]
-        hit[place] = True
-        if hit.all() or limit * whole > 1e7:
-            return out
-        limit *= 2
+    """The signature of one weighted set: for each of k coordinates the earliest dart's number."""
+    return thrown(elements, weights, np.zeros(len(elements), np.int64), 1, k, seed)[0]
+
+
+def thrown(elements: np.ndarray, weights: np.ndarray, of: np.ndarray, n: int, k: int, seed: int, widen: float = 1.0) -> np.ndarray:
+    """Signatures (n, k) of n weighted sets at once; of: the set of each element. Weights are positive, and no set is empty."""
+    weights = np.asarray(weights, np.float64)
+    layers = np.ceil(weights).astype(np.int64)
+    region, filled = units(elements, weights)
+    region, of_unit = region ^ mixed(np.array([seed + 1], np.uint64)), np.repeat(of, layers)
+    whole = np.bincount(of, weights, n)
+    limit = (widen * (np.log(k) + 2.0) * k / whole)[of_unit]
+    # darts reach a region at the times of a Poisson process: the next follows after an exponential pause
+    time, live, step = np.zeros(len(region)), np.arange(len(region)), 0
+    numbers, times, owners = [], [], []
+    while len(live):
+        h = mixed(region[live] + np.uint64((step * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        now = time[live] - np.log(uniform(h))
+        early = now <= limit[live]
+        live, h, now = live[early], h[early], now[early]
+        time[live] = now
+        part = filled[live]
+        if part.min(initial=1.0) < 1.0:  # a dart above a fractional weight misses
+            inside = uniform(mixed(h + np.uint64(1))) <= part
+            numbers.append(h[inside]), times.append(now[inside]), owners.append(of_unit[live][inside])
+        else:
+            numbers.append(h), times.append(now), owners.append(of_unit[live])
+        step += 1
+    number, at, owner = np.concatenate(numbers), np.concatenate(times), np.concatenate(owners)
+    place = owner * k + ((number >> np.uint64(7)) % np.uint64(k)).astype(np.int64)
+    order = np.argsort(-at)  # the earliest is written last, and stays
+    out, hit = np.zeros(n * k, np.uint64), np.zeros(n * k, bool)
+    out[place[order]] = mixed(number[order])
+    hit[place] = True
+    out, short = out.reshape(n, k), ~hit.reshape(n, k).all(axis=1)
+    if short.any() and widen < 1e6:  # a coordinate that is empty still needs later darts
+        again = np.flatnonzero(short)
+        some = short[of]
+        out[again] = thrown(elements[some], weights[some], np.searchsorted(again, of[some]), len(again), k, seed, widen * 2)
+    return out
 
 
 def band_names(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    x = mixed(signature.reshape(bands, rows) + np.arange(rows, dtype=np.uint64))
-    return mixed(x.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    x = mixed(signature.reshape(-1, bands, rows) + np.arange(rows, dtype=np.uint64))
+    return mixed(x.sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def signed(docs: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
@@ -107,8 +122,12 @@ def signed(docs: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
                 part = batch.slice(at, 128)
                 texts = hashed(part.column(1))
                 some = [i for i in range(part.num_rows) if texts.first[i + 1] > texts.first[i]]
-                names = [band_names(darts(*weighted(texts.of(i)), bands * rows, seed), bands, rows) for i in some]
-                flat = pa.array(np.concatenate(names) if names else np.zeros(0, np.int64), pa.int64())
+                flat = pa.array([], pa.int64())
+                if some:
+                    own = [weighted(texts.of(i)) for i in some]
+                    of = np.repeat(np.arange(len(own)), [len(e) for e, _ in own])
+                    marks = thrown(np.concatenate([e for e, _ in own]), np.concatenate([w for _, w in own]), of, len(own), bands * rows, seed)
+                    flat = pa.array(band_names(marks, bands, rows).ravel(), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some, pa.int64())), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), flat)], ["__id", "__bands"])
 
     return docs.mapInArrow(run, "__id long, __bands array<long>")
@@ -129,12 +148,13 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "__id long, __set array<int>")
 
 
-def leaders(bands: DataFrame, seed: int) -> DataFrame:
-    """bands(__id, __bands) to (__bucket, __id) of shared buckets with their __leader."""
+def leaders(bands: DataFrame, seed: int, several: int = 1) -> DataFrame:
+    """bands(__id, __bands) to (__bucket, __id, __leader) of the buckets that documents share, with one leader or several."""
     rows = bands.select("__id", F.explode("__bands").alias("__bucket"))
-    rank = F.struct(F.xxhash64("__id", F.lit(seed)).alias("r"), F.col("__id").alias("i"))
-    lead = rows.groupBy("__bucket").agg(F.min(rank).alias("m"), F.max(rank).alias("x")).filter("m.i <> x.i").select("__bucket", F.col("m.i").alias("__leader"))
-    return staged(rows.join(lead.hint("shuffle_merge"), "__bucket"), "near-buckets")
+    ranks = [F.struct(F.xxhash64("__id", F.lit(seed * 100 + j)).alias("r"), F.col("__id").alias("i")) for j in range(several)]
+    lead = rows.groupBy("__bucket").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi"), *(F.min(r).alias(f"m{j}") for j, r in enumerate(ranks))).filter("lo <> hi")
+    lead = lead.select("__bucket", F.array_distinct(F.array(*(f"m{j}.i" for j in range(several)))).alias("__lead"))
+    return rows.join(lead.hint("shuffle_merge"), "__bucket").select("__bucket", "__id", F.explode("__lead").alias("__leader"))
 
 
 def verified(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
@@ -146,25 +166,28 @@ def verified(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
     return out.filter(F.col("__both") >= least * (F.size("__set") + F.size("__other") - F.col("__both"))).select("__id", "__leader")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(__id, __class): for every end of an edge (__id, __leader) the smallest id that it is connected with."""
-    both = staged(edges.unionAll(edges.select("__leader", "__id")).toDF("a", "b").distinct(), "near-edges")
-    names = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("__id"), F.least("a", "m").alias("__class")), "near-names")
-    while True:
-        near = both.join(names.select(F.col("__id").alias("b"), "__class").hint("shuffle_merge"), "b").groupBy("a").agg(F.min("__class").alias("m"))
-        new = names.join(near.withColumnRenamed("a", "__id"), "__id").select("__id", F.col("__class").alias("__old"), F.least("__class", "m").alias("__class"))
-        jump = names.select(F.col("__id").alias("__class"), F.col("__class").alias("__far"))  # a name's own name is nearer to the smallest
-        new = new.join(jump.hint("shuffle_merge"), "__class", "left").select("__id", "__old", F.least("__class", F.coalesce("__far", "__class")).alias("__class"))
-        new = staged(new, "near-names")
-        names = new.select("__id", "__class")
-        if new.filter("__old <> __class").isEmpty():
-            return names
-
+def absorbed(names: DataFrame, links: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """names(__id, __class) after links (__id, __leader) join classes, and how many links joined two. rows bounds the links and names.
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose __id is among ids(__id)."""
-    ids = staged(ids.distinct(), "near-ids")
-    return join_counted(docs, ids, "__id", "left_semi", ids.count(), 16)
+    A class hangs itself on the smallest class that it is linked with, if that is smaller, so that no cycle can arise; then every
+    name is replaced by its root. Links that still lie between classes are taken again.
+    """
+    joined = 0
+    while True:
+        ends = named(named(links, names, "__id", "__a"), names, "__leader", "__b").filter("__a <> __b")
+        ends = staged(ends.groupBy(F.greatest("__a", "__b").alias("x")).agg(F.min(F.least("__a", "__b")).alias("p")), "near-parents", rows)
+        n = ends.count()
+        if n == 0:
+            return names, joined
+        joined += n
+        roots, moved = ends, True
+        while moved:
+            up = roots.select(F.col("x").alias("p"), F.col("p").alias("q"))
+            roots = staged(roots.join(up, "p", "left").select("x", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "near-roots", rows)
+            moved = not roots.filter("moved").isEmpty()
+        to = roots.select(F.col("x").alias("__class"), "p")
+        names = names.join(to, "__class", "left").select("__id", F.coalesce("p", "__class").alias("__class"))
+        names = staged(names.unionAll(roots.select(F.col("x").alias("__id"), F.col("p").alias("__class"))), "near-names", rows)
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -176,38 +199,30 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     words = rows.filter("__id is not null and __text is not null")
     # every row is hashed where it lies; of equal texts the smallest id goes on
     first = staged(staged(signed(words, *FIRST, seed=0), "near-all-bands").join(known.hint("shuffle_merge"), "__id", "left_semi").dropDuplicates(["__id", "__bands"]), "near-bands")
-    buckets = leaders(first, 0)
-    ids = buckets.select("__id")
+    buckets = staged(leaders(first, 0), "near-buckets")
+    ids = staged(buckets.select("__id").distinct(), "near-ids")
+    n = ids.count()
     # one row for each node: rows of one id are one document, whichever text comes first
-    members = staged(sets(among(words, ids)).groupBy("__id").agg(F.max("__set").alias("__set")), "near-sets")
-    links, seed = None, 0
-    while True:
-        pairs = buckets.filter("__id <> __leader").groupBy("__id", "__leader").agg(F.count(F.lit(1)).alias("__n"))
-        pairs = staged(pairs, "near-pairs")
-        # the leader that shares most bands comes first; the others only where that left a document apart from them
-        best = pairs.groupBy("__id").agg(F.max_by("__leader", F.struct("__n", -F.col("__leader"))).alias("__leader"))
-        new = staged(verified(best, members, similarity), "near-links")
-        links = new if links is None else staged(links.unionAll(new), "near-links")
-        names = components(links)
-        apart = staged(named(named(pairs, names, "__id", "__a"), names, "__leader", "__b").filter("__a <> __b"), "near-apart")
-        more = staged(verified(apart.select("__id", "__leader"), members, similarity), "near-links")
-        if not more.isEmpty():
-            links = staged(links.unionAll(more), "near-links")
-            names = components(links)
-        elif seed and new.isEmpty():
-            break
-        seed += 1
-        if seed > MOST_ROUNDS:
+    members = staged(sets(join_counted(words, ids, "__id", "left_semi", n, 16)).groupBy("__id").agg(F.max("__set").alias("__set")), "near-sets")
+    names = docs.sparkSession.createDataFrame([], "__id long, __class long")
+    for turn in range(MOST_ROUNDS + 1):
+        pairs = staged(buckets.filter("__id <> __leader").groupBy("__id", "__leader").agg(F.count(F.lit(1)).alias("__n")), "near-pairs")
+        if turn == 0:  # the leader that shares most bands comes first; the others only where that left a document apart from them
+            best = pairs.groupBy("__id").agg(F.max_by("__leader", F.struct("__n", -F.col("__leader"))).alias("__leader"))
+            names, _ = absorbed(names, staged(verified(best, members, similarity), "near-links", n, heavy=True), n)
+        apart = named(named(pairs, names, "__id", "__a"), names, "__leader", "__b").filter("__a <> __b")
+        names, joined = absorbed(names, staged(verified(apart.select("__id", "__leader"), members, similarity), "near-links", n, heavy=True), n)
+        if turn == MOST_ROUNDS or (turn and not joined):
             break
-        # members of buckets with several classes
-        own = named(buckets, names, "__id", "__a")
-        mixed_ = own.groupBy("__bucket").agg(F.min("__a").alias("lo"), F.max("__a").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and n > 2").select("__bucket")
-        left = staged(own.join(mixed_.hint("shuffle_merge"), "__bucket", "left_semi").select("__id").distinct(), "near-left")
-        if left.isEmpty():
+        # members of buckets with several classes are hashed anew
+        own = named(buckets.select("__bucket", "__id").distinct(), names, "__id", "__a")
+        several = own.groupBy("__bucket").agg(F.min("__a").alias("lo"), F.max("__a").alias("hi"), F.count(F.lit(1)).alias("n")).filter(f"lo <> hi and n > {2 if turn == 0 else LEADERS}").select("__bucket")
+        left = staged(own.join(several.hint("shuffle_merge"), "__bucket", "left_semi").select("__id").distinct(), "near-left", n)
+        rest = left.count()
+        if rest == 0:
             break
-        again = signed(among(words, left), *LATER, seed=seed).dropDuplicates(["__id", "__bands"])
-        buckets = leaders(staged(again, "near-again"), seed)
-        buckets = staged(apart_only(buckets, names), "near-buckets")
+        again = signed(join_counted(words, left, "__id", "left_semi", rest, 16), *LATER, seed=turn + 1).dropDuplicates(["__id", "__bands"])
+        buckets = staged(leaders(staged(again, "near-again", rest * 20, heavy=True), turn + 1, LEADERS), "near-buckets", rest * LATER[0])
     found = texts.join(nodes.hint("shuffle_merge"), "__hash", "left").select("__id", "__node")
     found = found.join(names.select(F.col("__id").alias("__node"), "__class").hint("shuffle_merge"), "__node", "left")
     class_id = F.coalesce("__class", "__node", "__id")
@@ -216,12 +231,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def named(rows: DataFrame, names: DataFrame, of: str, to: str) -> DataFrame:
     """rows with the class of a column, an id without links being its own."""
-    return rows.join(names.select(F.col("__id").alias(of), F.col("__class").alias(to)).hint("shuffle_merge"), of, "left").withColumn(to, F.coalesce(to, of))
-
-
-def apart_only(buckets: DataFrame, names: DataFrame) -> DataFrame:
-    """What isn't in its leader's class yet."""
-    return named(named(buckets, names, "__id", "__a"), names, "__leader", "__b").filter("__a <> __b or __id = __leader").drop("__a", "__b")
+    return rows.join(names.select(F.col("__id").alias(of), F.col("__class").alias(to)), of, "left").withColumn(to, F.coalesce(to, of))
 
 
 def without_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
