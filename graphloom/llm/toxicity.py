@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import sampled, texts_in
 
-SAMPLE, SAMPLE_CHARS = 2500, 20_000
+SAMPLE, SAMPLE_CHARS = 2000, 20_000
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 TOKEN = re.compile(r"\w+")
@@ -49,7 +50,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 class WordWeights(dict):
     """A word's weight, the sum of its features' weights; kept for words that came before, up to a bound."""
 
-    def __init__(self, weights: dict[str, float], most: int = 400_000):
+    def __init__(self, weights: dict[str, float], most: int = 100_000):
         super().__init__()
         self.weights, self.most = weights, most
 
@@ -98,23 +99,26 @@ def trained(bags: list[list[list[str]]], labels: list[int], rounds: int = 200, d
     the label to mark a sentence, and all other sentences share the bias.
     """
     number: dict[str, int] = {}
+    of = lru_cache(50_000)(features)
     docs_with: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    known: dict[str, list[str]] = {}
-    for bag, label in zip(bags, labels, strict=True):
-        into = docs_with[label]
-        for f in {f for w in {w for s in bag for w in s} for f in known.setdefault(w, features(w))}:
-            into[f] = into.get(f, 0) + 1
+    for wanted in (1, 0):  # others than those of several toxic documents need not be counted
+        some = None if wanted else {f for f, n in docs_with[1].items() if n > 1}
+        for bag, label in zip(bags, labels, strict=True):
+            if label == wanted:
+                found = {f for w in {w for s in bag for w in s} for f in of(w)}
+                for f in found if some is None else found & some:
+                    docs_with[label][f] = docs_with[label].get(f, 0) + 1
     all_pos = sum(labels)
     for f, n in docs_with[1].items():
         if n > 1 and telling(n, docs_with[0].get(f, 0), all_pos, len(labels) - all_pos) >= least:
             number[f] = len(number)
+    docs_with = ({}, {})
     if not number or len(set(labels)) < 2:
         return Model({}, -30.0)
-    by_word = {w: [number[f] for f in fs if f in number] for w, fs in known.items()}
     cols, row_len, doc_of = [], [], []
     for d, bag in enumerate(bags):
         for s in bag:
-            got = [i for w in s for i in by_word[w]]
+            got = [number[f] for w in s for f in of(w) if f in number]
             cols.append(np.array(got, np.int32))
             row_len.append(len(got))
             doc_of.append(d)
@@ -184,7 +188,9 @@ def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thre
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordWeights(model.weights)
         for batch in batches:
-            keep = [noisy_or([p for _, _, p in model.sentence_scores(t, words)]) < threshold for t in batch.column(at).to_pylist()]
+            keep: list[bool] = []
+            for start in range(0, batch.num_rows, 256):
+                keep += [noisy_or([p for _, _, p in model.sentence_scores(t, words)]) < threshold for t in batch.column(at).slice(start, 256).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
