@@ -127,6 +127,6 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """docs as the mix takes them: each row as often as the mix takes it. Texts aren't shuffled; a source's rule decides on each row."""
     mix = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
     rows = keyed(docs, id_col, text_col, source_col, seed)
-    rows = join_counted(rows, mix.rules, "__sk", "inner", mix.sources, 128)
+    rows = join_counted(rows, mix.rules.drop("source_size", "target"), "__sk", "inner", mix.sources, 128)
     rows = rows.withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies().cast("int"))))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
