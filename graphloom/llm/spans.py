@@ -1,10 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of RUN consecutive sentences is hashed and the hashes are joined over all documents. The first run of its hash, by id
-and place, stays; the sentences that any other run of it covers are removed, wherever runs overlap, too.
+Every run of RUN consecutive sentences, or of as many more as it takes to have LEAST_WORDS words, is hashed, and the hashes are
+joined over all documents. The first run of its hash, by id and place, stays; the sentences that any other run of it covers are
+removed, wherever runs overlap, too.
 
-A sentence ends at . ! or ? before white space, or at a line's end; case, punctuation and spacing are ignored in hashing. A run
-needs LEAST_WORDS words, so that a few very short sentences that agree by chance stay.
+A sentence ends at . ! or ? before white space, or at a line's end; case, punctuation and spacing are ignored in hashing. A few
+very short sentences can agree by chance, hence the number of words.
 
 Defined results: a null text stays null, texts of fewer sentences than a run stay whole; repeats inside one document count like
 those between documents; of rows with equal ids the one with the smaller text hash is the earlier, and of equal rows all stay or go
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import join_counted, staged
 from graphloom.llm.words import hashed, mixed
 
-RUN, LEAST_WORDS = 3, 12
+RUN, LEAST_WORDS = 3, 10
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?!\s|$)[^.!?\n]*)*(?:[.!?]+|\n|$)\s*")
+_BASE = 0x9E3779B97F4A7C15
 _TURN = np.random.default_rng(17).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -34,24 +37,37 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text) if m.end() > m.start()]
 
 
-def runs(text: str, run: int = RUN, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes of the runs and the sentences at which they start, counted over sentences that have words; and how many there are."""
+@dataclass(frozen=True)
+class Runs:
+    """Of a text: the spans of its sentences; own: those that have words. A run has a hash, and its first and last one of own."""
+
+    spans: list[tuple[int, int]]
+    own: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def runs(text: str, run: int = RUN, least: int = LEAST_WORDS) -> Runs:
     spans = sentences(text)
     words = hashed(pa.array([text[a:b] for a, b in spans], pa.string()))
     n = np.diff(words.first)
     own = np.flatnonzero(n)
-    if len(own) < run:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), len(spans)
     n = n[own]
-    first = np.cumsum(n) - n
-    place = np.arange(n.sum()) - np.repeat(first, n)
-    each = mixed(np.add.reduceat(words.hashes * (_TURN[place & 63] + (place >> 6).astype(np.uint64)), first) + n.astype(np.uint64))
-    out, total = np.zeros(len(own) - run + 1, np.uint64), np.zeros(len(own) - run + 1, np.int64)
-    for j in range(run):
-        out = out + each[j : len(own) - run + 1 + j] * _TURN[40 + j]
-        total += n[j : len(own) - run + 1 + j]
-    at = np.flatnonzero(total >= least)
-    return mixed(out[at]).view(np.int64), at, len(spans)
+    none = np.zeros(0, np.int64)
+    if len(own) < run:
+        return Runs(spans, own, none, none, none)
+    head = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(head, n)
+    each = mixed(np.add.reduceat(words.hashes * (_TURN[place & 63] + (place >> 6).astype(np.uint64)), head) + n.astype(np.uint64))
+    first = np.arange(len(own))
+    last = np.maximum(np.searchsorted(np.cumsum(n), head + least), first + run - 1)
+    first, last = first[last < len(own)], last[last < len(own)]
+    # hash of sentences i to j from prefix sums of powers of an odd number, which has an inverse
+    up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(own), x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * up[:-1], dtype=np.uint64)])
+    segment = (sums[last + 1] - sums[first]) * down[first]
+    return Runs(spans, own, mixed(segment + (last - first).astype(np.uint64)).view(np.int64), first, last)
 
 
 def hashed_runs(rows: DataFrame, run: int, least: int) -> DataFrame:
@@ -61,7 +77,7 @@ def hashed_runs(rows: DataFrame, run: int, least: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = [runs(t or "", run, least)[:2] for t in part.column(2).to_pylist()]
+                got = [(r.hashes, r.first) for r in (runs(t or "", run, least) for t in part.column(2).to_pylist())]
                 of = pa.array(np.repeat(np.arange(part.num_rows), [len(h) for h, _ in got]), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.concatenate([a for _, a in got]), pa.int32()), pa.array(np.concatenate([h for h, _ in got]), pa.int64())], ["__id", "__tie", "__at", "__hash"])
 
@@ -80,17 +96,15 @@ def repeated(rows: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> tuple
     return found, found.count()
 
 
-def covered(text: str, starts: list[int], run: int) -> list[tuple[int, int]]:
-    """Spans of the sentences that the runs cover, joined where they touch."""
-    spans = sentences(text)
-    words = hashed(pa.array([text[a:b] for a, b in spans], pa.string()))
-    own = np.flatnonzero(np.diff(words.first))
+def covered(text: str, starts: list[int], run: int, least: int) -> list[tuple[int, int]]:
+    """Spans of the sentences that the runs from these starts cover, joined where they touch."""
+    r = runs(text, run, least)
     out: list[list[int]] = []
     gone: set[int] = set()
     for s in starts:
-        gone.update(range(int(own[s]), int(own[s + run - 1]) + 1))
+        gone.update(range(int(r.own[s]), int(r.own[r.last[s]]) + 1))
     for i in sorted(gone):
-        a, b = spans[i]
+        a, b = r.spans[i]
         if out and out[-1][1] == a:
             out[-1][1] = b
         else:
@@ -112,7 +126,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old, starts = batch.column(at).to_pylist(), batch.column(len(kept)).to_pylist()
-            gone = [covered(t, s, run) if t and s else [] for t, s in zip(old, starts, strict=True)]
+            gone = [covered(t, s, run, least) if t and s else [] for t, s in zip(old, starts, strict=True)]
             new = [t if not g else "".join(t[a:b] for a, b in zip([0, *(e for _, e in g)], [*(s for s, _ in g), len(t)], strict=True)) for t, g in zip(old, gone, strict=True)]
             count = [len([1 for a, b in sentences(t) if any(x <= a and b <= y for x, y in g)]) if g else 0 for t, g in zip(old, gone, strict=True)]
             cols = [batch.column(i) for i in range(len(kept))]
