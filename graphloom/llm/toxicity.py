@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences, of which only the bag has a label. A sentence's score is logistic in its features (words,
-their beginnings and their character 5-grams); a document's score is the noisy-or of its sentences: 1 - prod(1 - p). The
+their beginnings and their n-grams of characters); a document's score is the noisy-or of its sentences: 1 - prod(1 - p). The
 weights are trained through the noisy-or from document labels, and then locate the offending sentences.
 
 Only labels of rows whose crc32(id as text) mod 3 is not 1 are learned from; label, language, source and id are no features.
@@ -29,17 +29,14 @@ SAMPLE, SAMPLE_CHARS = 2000, 20_000
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 TOKEN = re.compile(r"\w+")
-GRAM = 5
+GRAM, BEGINNINGS = 5, range(3, 9)
 
 
 def features(word: str) -> list[str]:
-    """The word itself, its beginnings of 4 and 5 characters, and its 5-grams."""
+    """The word itself, its beginnings, and its n-grams."""
     out = ["=" + word]
-    if len(word) > 3:
-        out.append("^" + word[:4])
-        out += [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
-        if len(word) > 4:
-            out.append("^" + word[:5])
+    out += ["^" + word[:n] for n in BEGINNINGS if len(word) >= n]
+    out += [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
     return out
 
 
