@@ -148,7 +148,7 @@ class Compiler:
                 inner, condition = inner.inner, lambda env: truth(self.expression(test, env))
             return S.semi_join(s, self.pattern(inner, c), e.wanted, condition)
         s, e = self.marked(s, e, c)
-        keep = s.filtered(F.coalesce(truth(self.expression(e, s.val)), F.lit(False)))
+        keep = s.filtered(truth(self.expression(e, s.val)))  # an error drops the row, as NULL does
         return keep.keep([n for n in keep.vars if not n.startswith("_:exists")])
 
     def marked(self, s: Solutions, e: Any, c: Context) -> tuple[Solutions, Any]:
