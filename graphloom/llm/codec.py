@@ -22,7 +22,7 @@ import numpy as np
 MAGIC = b"GLCM"
 HEAD = struct.Struct("<4sHHIIIIIIII")
 VERSION = 1
-MAX_LANES, LEAST_STEPS, MAX_CHUNK = 4096, 128, 16
+MAX_LANES, LEAST_STEPS, MAX_CHUNK = 8192, 128, 16
 FLAG_BITS, SHARE_BITS, TABLE2_BITS = 16, 19, 18
 LOW32, TOP = np.uint64((1 << 32) - 1), np.uint64(1 << 32)
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import codec
 from graphloom.llm.common import join_counted, staged_path, texts_in
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
 END_ID = 0
 
 
@@ -72,7 +73,7 @@ class Words:
         known = self.known
         pieces = [t.split(" ") for t in texts]
         heads = [p[0] for p in pieces]
-        new = {w for p in pieces for w in p[1:] if w not in known}
+        new = set().union(*(p[1:] for p in pieces)).difference(known)
         odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
         new -= odd
         stems = {w: w.rstrip(",.") for w in new}  # punctuation after a letter is a piece of its own for the pre-tokenizer
@@ -91,13 +92,19 @@ class Words:
         return [next(first) + b"".join(map(known.__getitem__, p[1:])) if ok else next(first) for p, ok in zip(pieces, plain, strict=True)]
 
 
+@lru_cache(2)
+def words_for(path: str) -> Words:
+    """One for each Python worker, so that what is known of words lasts from task to task."""
+    return Words(path)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Writes the blocks of docs to path: rows (part, block, docs, tokens, data), parts and blocks in ascending order of the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, part, number = Words(tokenizer), TaskContext.get().partitionId(), 0
+        words, part, number = words_for(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], words.kind).tobytes()
         names, lengths, held, size = [], [], [], 0
 
