@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import join_counted, staged
@@ -29,10 +29,10 @@ from graphloom.llm.words import hashed, mixed
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and coordinates in each, of the first round and of those that follow: at the similarity above, a pair shares no band
-#: with a chance of 3e-6 and 6e-4.
-FIRST, LATER = (32, 5), (40, 8)
-#: Rounds after the first, which end as soon as one joins nothing, and the leaders that a bucket has in them.
-MOST_ROUNDS, LEADERS = 6, 4
+#: with a chance of 3e-6 and 0.1; the latter rounds repeat, each with other darts and leaders.
+FIRST, LATER = (32, 5), (32, 12)
+#: Rounds after the first, which end as soon as one joins nothing; in them, the leaders of a bucket and those that a document tries.
+MOST_ROUNDS, LEADERS, TRIED = 6, 4, 8
 _RNG = np.random.default_rng(9)
 _TURN = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
@@ -115,11 +115,12 @@ def band_names(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def signed(docs: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
     """(__id, __bands) of the rows (__id, __text) that have a word."""
+    step = max(8, 16_000 // (bands * rows))  # documents at once: their darts take some tens of megabytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 texts = hashed(part.column(1))
                 some = [i for i in range(part.num_rows) if texts.first[i + 1] > texts.first[i]]
                 flat = pa.array([], pa.int64())
@@ -148,13 +149,25 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "__id long, __set array<int>")
 
 
-def leaders(bands: DataFrame, seed: int, several: int = 1) -> DataFrame:
-    """bands(__id, __bands) to (__bucket, __id, __leader) of the buckets that documents share, with one leader or several."""
+def leaders(bands: DataFrame, seed: int) -> DataFrame:
+    """bands(__id, __bands) to (__bucket, __id, __leader) of the buckets that documents share."""
     rows = bands.select("__id", F.explode("__bands").alias("__bucket"))
-    ranks = [F.struct(F.xxhash64("__id", F.lit(seed * 100 + j)).alias("r"), F.col("__id").alias("i")) for j in range(several)]
-    lead = rows.groupBy("__bucket").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi"), *(F.min(r).alias(f"m{j}") for j, r in enumerate(ranks))).filter("lo <> hi")
-    lead = lead.select("__bucket", F.array_distinct(F.array(*(f"m{j}.i" for j in range(several)))).alias("__lead"))
-    return rows.join(lead.hint("shuffle_merge"), "__bucket").select("__bucket", "__id", F.explode("__lead").alias("__leader"))
+    rank = F.struct(F.xxhash64("__id", F.lit(seed)).alias("r"), F.col("__id").alias("i"))
+    lead = rows.groupBy("__bucket").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi"), F.min(rank).alias("m")).filter("lo <> hi")
+    return rows.join(lead.select("__bucket", F.col("m.i").alias("__leader")).hint("shuffle_merge"), "__bucket").select("__bucket", "__id", "__leader")
+
+
+def still_apart(bands: DataFrame, seed: int) -> DataFrame:
+    """bands(__id, __class, __bands) to pairs (__id, __leader) of different classes: in each bucket of several classes there are
+    LEADERS leaders, and a document takes the TRIED of them that it shares most bands with."""
+    rows = bands.select("__id", "__class", F.explode("__bands").alias("__bucket"))
+    ranks = [F.min(F.struct(F.xxhash64("__id", F.lit(seed * 100 + j)).alias("r"), F.col("__id").alias("i"), F.col("__class").alias("c"))).alias(f"m{j}") for j in range(LEADERS)]
+    lead = rows.groupBy("__bucket").agg(F.min("__class").alias("lo"), F.max("__class").alias("hi"), *ranks).filter("lo <> hi")
+    lead = lead.select("__bucket", F.array_distinct(F.array(*(F.struct(f"m{j}.i", f"m{j}.c") for j in range(LEADERS)))).alias("lead"))
+    pairs = rows.join(lead.hint("shuffle_merge"), "__bucket").select("__id", F.explode(F.filter("lead", lambda x: x["c"] != F.col("__class"))).alias("l"))
+    pairs = pairs.groupBy("__id", F.col("l.i").alias("__leader")).agg(F.count(F.lit(1)).alias("n"))
+    most = Window.partitionBy("__id").orderBy(F.desc("n"), "__leader")  # a document has a bounded number of leaders
+    return pairs.withColumn("k", F.row_number().over(most)).filter(F.col("k") <= TRIED).select("__id", "__leader")
 
 
 def verified(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
@@ -205,24 +218,27 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # one row for each node: rows of one id are one document, whichever text comes first
     members = staged(sets(join_counted(words, ids, "__id", "left_semi", n, 16)).groupBy("__id").agg(F.max("__set").alias("__set")), "near-sets")
     names = docs.sparkSession.createDataFrame([], "__id long, __class long")
-    for turn in range(MOST_ROUNDS + 1):
-        pairs = staged(buckets.filter("__id <> __leader").groupBy("__id", "__leader").agg(F.count(F.lit(1)).alias("__n")), "near-pairs")
-        if turn == 0:  # the leader that shares most bands comes first; the others only where that left a document apart from them
-            best = pairs.groupBy("__id").agg(F.max_by("__leader", F.struct("__n", -F.col("__leader"))).alias("__leader"))
-            names, _ = absorbed(names, staged(verified(best, members, similarity), "near-links", n, heavy=True), n)
-        apart = named(named(pairs, names, "__id", "__a"), names, "__leader", "__b").filter("__a <> __b")
-        names, joined = absorbed(names, staged(verified(apart.select("__id", "__leader"), members, similarity), "near-links", n, heavy=True), n)
-        if turn == MOST_ROUNDS or (turn and not joined):
-            break
-        # members of buckets with several classes are hashed anew
-        own = named(buckets.select("__bucket", "__id").distinct(), names, "__id", "__a")
-        several = own.groupBy("__bucket").agg(F.min("__a").alias("lo"), F.max("__a").alias("hi"), F.count(F.lit(1)).alias("n")).filter(f"lo <> hi and n > {2 if turn == 0 else LEADERS}").select("__bucket")
-        left = staged(own.join(several.hint("shuffle_merge"), "__bucket", "left_semi").select("__id").distinct(), "near-left", n)
-        rest = left.count()
-        if rest == 0:
+    pairs = staged(buckets.filter("__id <> __leader").groupBy("__id", "__leader").agg(F.count(F.lit(1)).alias("__n")), "near-pairs")
+    # the leader that shares most bands comes first; the others only where that left a document apart from them
+    best = pairs.groupBy("__id").agg(F.max_by("__leader", F.struct("__n", -F.col("__leader"))).alias("__leader"))
+    names, _ = absorbed(names, staged(verified(best, members, similarity), "near-links", n, heavy=True), n)
+    apart = named(named(pairs, names, "__id", "__a"), names, "__leader", "__b").filter("__a <> __b")
+    names, _ = absorbed(names, staged(verified(apart.select("__id", "__leader"), members, similarity), "near-links", n, heavy=True), n)
+    # members of buckets with several classes are hashed anew, with purer buckets, until that joins nothing
+    own = named(buckets.select("__bucket", "__id"), names, "__id", "__a")
+    several = own.groupBy("__bucket").agg(F.min("__a").alias("lo"), F.max("__a").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and n > 2").select("__bucket")
+    left = staged(own.join(several.hint("shuffle_merge"), "__bucket", "left_semi").select("__id").distinct(), "near-left", n)
+    rest = left.count()
+    again = staged(join_counted(words, left, "__id", "left_semi", rest, 16), "near-left-texts") if rest else None
+    tried = docs.sparkSession.createDataFrame([], "__id long, __leader long")
+    for turn in range(1, MOST_ROUNDS + 1 if rest else 1):
+        bands = staged(signed(again, *LATER, seed=turn).dropDuplicates(["__id", "__bands"]), "near-again", rest * 20, heavy=True)
+        new = still_apart(named(bands, names, "__id", "__class"), turn)
+        new = staged(new.join(tried, ["__id", "__leader"], "left_anti"), "near-pairs", rest * TRIED)
+        tried = tried.unionAll(new)
+        names, joined = absorbed(names, staged(verified(new, members, similarity), "near-links", n, heavy=True), n)
+        if not joined:
             break
-        again = signed(join_counted(words, left, "__id", "left_semi", rest, 16), *LATER, seed=turn + 1).dropDuplicates(["__id", "__bands"])
-        buckets = staged(leaders(staged(again, "near-again", rest * 20, heavy=True), turn + 1, LEADERS), "near-buckets", rest * LATER[0])
     found = texts.join(nodes.hint("shuffle_merge"), "__hash", "left").select("__id", "__node")
     found = found.join(names.select(F.col("__id").alias("__node"), "__class").hint("shuffle_merge"), "__node", "left")
     class_id = F.coalesce("__class", "__node", "__id")
