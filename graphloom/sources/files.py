@@ -83,7 +83,7 @@ def write_lines(quads: DataFrame, path: str) -> None:
 
 
 def write_text(quads: DataFrame, how: str = "turtle", prefixes: dict[str, str] | None = None) -> str:
-    """A small graph as a document: turtle, trig, ntriples, nquads, rdfjson, jsonld, trix, rdfxml, csv or tsv."""
+    """A small graph as a document: turtle, trig, ntriples, nquads, rdfjson, jsonld, trix, rdfxml, csv, tsv, dot or html."""
     p = F.col("p") if dict(quads.dtypes)["p"] == "string" else F.col("p.lex")
     g = F.col("g") if "g" in quads.columns else F.lit(None).cast("string")
     rows = quads.select(F.col("s"), p.alias("p"), F.col("o"), g.alias("g"), written(F.col("s")).alias("sw"), written(F.col("o")).alias("ow")).orderBy(F.col("g").asc_nulls_first(), "sw", "p", "ow").collect()
@@ -163,6 +163,15 @@ def write_text(quads: DataFrame, how: str = "turtle", prefixes: dict[str, str] |
                     subject = r.sw
             parts.append(" .\n" + ("}\n" if g else ""))
         return "".join(parts)
+    if how == "dot":
+
+        def node(t, w) -> str:  # noqa: ANN001
+            return json.dumps(t.lex if t.kind == IRI else w, ensure_ascii=False)
+
+        return "digraph {\n" + "".join(f"{node(r.s, r.sw)} -> {node(r.o, r.ow)} [label={json.dumps(r.p)}];\n" for r in rows) + "}\n"
+    if how == "html":
+        cells = "".join("<tr>" + "".join(f"<td>{escape(x)}</td>" for x in (r.sw, f"<{r.p}>", r.ow)) + "</tr>\n" for r in rows)
+        return f"<table>\n<tr><th>subject</th><th>predicate</th><th>object</th></tr>\n{cells}</table>\n"
     raise ValueError(f"no format {how}")
 
 

@@ -100,6 +100,18 @@ def test_custom_functions_and_namespaces(spark, people):
     assert rows(e, "SELECT (<urn:double>(?a) AS ?b) (other:sq(?a) AS ?c) { :ann :age ?a }") == [(82.0, 1681.0)]
 
 
+def test_operators_can_be_replaced(spark, people):
+    from graphloom.functions.builtins import arithmetic
+    from graphloom.functions.values import Val, plain
+    from pyspark.sql import functions as F
+
+    def plus(x, y):
+        return Val("str", F.concat(plain(x), plain(y))) if x.kind == y.kind == "str" else arithmetic("+", x, y)
+
+    e = Engine(spark, people, PX, functions={"+": plus})
+    assert rows(e, 'SELECT ("a" + "b" AS ?x) (1 + 2 AS ?y) {}') == [("ab", 3)]
+
+
 def test_modifiers_subqueries_values(e):
     assert [r[0] for r in e.select("SELECT ?n { ?x :name ?n } ORDER BY DESC(?n) LIMIT 2 OFFSET 1").collect()] == ['"Cid"', '"Bob"']
     assert rows(e, "SELECT ?x ?m { ?x :age ?a { SELECT (MAX(?b) AS ?m) { ?y :age ?b } } FILTER(?a = ?m) }") == [("<urn:x#ann>", '"41"^^<http://www.w3.org/2001/XMLSchema#integer>')]
@@ -155,6 +167,7 @@ def test_round_trips_of_syntaxes(spark, people, tmp_path):
     (tmp_path / "one.ttl").write_text(PEOPLE)
     assert canon.isomorphic(read_files(spark, str(tmp_path / "one.ttl")), people)
     assert lines_of(people.quads).count() == 26
+    assert '"urn:x#ann" -> "urn:x#bob" [label="urn:x#knows"]' in write_text(people.quads, "dot") and "<td>&lt;urn:x#ann&gt;</td>" in write_text(people.quads, "html")
 
 
 def test_more_syntaxes(spark):
