@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if its counted rows times its width stay below this.
 BROADCAST_BYTES = 24 << 20
+_CLEARED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "/tmp/checkpoints"
+        if spark.sparkContext.applicationId not in _CLEARED:  # what a test leaves goes when it ends
+            _CLEARED.add(spark.sparkContext.applicationId)
+            atexit.register(shutil.rmtree, f"{found}/graphloom-{spark.sparkContext.applicationId}", ignore_errors=True)
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
