@@ -6,9 +6,10 @@ each dart falls to one of K coordinates, and a coordinate keeps its earliest dar
 chance equal to their weighted Jaccard similarity. Only darts early enough to matter are looked at: about K log K of them for a
 document of any length, with a later limit where a coordinate stayed empty.
 
-Coordinates are joined by bands. In a bucket every member is compared with one leader only, by exact similarity; pairs within a
-bucket are never listed. Members of buckets that then still hold several classes are hashed anew, with other darts and leaders,
-until such a round finds no further link. Equal texts are one node throughout, so copies cost nothing.
+Coordinates are joined by bands. In a bucket every member is first compared with one leader, by exact similarity. In buckets that
+then still hold several classes all members are compared, block against block by a product of matrices, and each pair of blocks
+gives only the links that join its classes; pairs within a bucket are never rows. So every two documents that share a bucket end
+in one class or have been compared. Equal texts are one node throughout, so copies cost nothing.
 
 Defined results: a null text is never a duplicate; equal texts (empty ones, too) are one class; a text of one to four words has
 one shingle, all its words; rows of one id are one document; a row with a null id gets the class of its equal texts, or null; a
@@ -21,18 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import join_counted, staged
 from graphloom.llm.words import hashed, mixed
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands and coordinates in each, of the first round and of those that follow: at the similarity above, a pair shares no band
-#: with a chance of 3e-6 and 0.1; the latter rounds repeat, each with other darts and leaders.
-FIRST, LATER = (32, 5), (32, 12)
-#: Rounds after the first, which end as soon as one joins nothing; in them, the leaders of a bucket and those that a document tries.
-MOST_ROUNDS, LEADERS, TRIED = 6, 4, 8
+#: Bands and coordinates in each: a pair at the similarity above shares no band with a chance of 3e-6.
+FIRST = (32, 5)
+#: Members of a bucket in a block, and shingles (columns) that are multiplied at once.
+BLOCK, COLUMNS = 1024, 2048
 _RNG = np.random.default_rng(9)
 _TURN = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
@@ -157,17 +157,74 @@ def leaders(bands: DataFrame, seed: int) -> DataFrame:
     return rows.join(lead.select("__bucket", F.col("m.i").alias("__leader")).hint("shuffle_merge"), "__bucket").select("__bucket", "__id", "__leader")
 
 
-def still_apart(bands: DataFrame, seed: int) -> DataFrame:
-    """bands(__id, __class, __bands) to pairs (__id, __leader) of different classes: in each bucket of several classes there are
-    LEADERS leaders, and a document takes the TRIED of them that it shares most bands with."""
-    rows = bands.select("__id", "__class", F.explode("__bands").alias("__bucket"))
-    ranks = [F.min(F.struct(F.xxhash64("__id", F.lit(seed * 100 + j)).alias("r"), F.col("__id").alias("i"), F.col("__class").alias("c"))).alias(f"m{j}") for j in range(LEADERS)]
-    lead = rows.groupBy("__bucket").agg(F.min("__class").alias("lo"), F.max("__class").alias("hi"), *ranks).filter("lo <> hi")
-    lead = lead.select("__bucket", F.array_distinct(F.array(*(F.struct(f"m{j}.i", f"m{j}.c") for j in range(LEADERS)))).alias("lead"))
-    pairs = rows.join(lead.hint("shuffle_merge"), "__bucket").select("__id", F.explode(F.filter("lead", lambda x: x["c"] != F.col("__class"))).alias("l"))
-    pairs = pairs.groupBy("__id", F.col("l.i").alias("__leader")).agg(F.count(F.lit(1)).alias("n"))
-    most = Window.partitionBy("__id").orderBy(F.desc("n"), "__leader")  # a document has a bounded number of leaders
-    return pairs.withColumn("k", F.row_number().over(most)).filter(F.col("k") <= TRIED).select("__id", "__leader")
+def common_units(sets_: list[np.ndarray], split: int) -> np.ndarray:
+    """How many units each of the first split sets shares with each of the others, or the sets with each other if there are no others."""
+    flat, of = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), [len(x) for x in sets_])
+    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = n[column] > 1
+    column, of = (np.cumsum(n > 1) - 1)[column[shared]], of[shared]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    out = np.zeros((split, len(sets_) - split or split), np.float32)  # counts are whole, and exact below 2^24
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        x = np.zeros((len(sets_), COLUMNS), np.float32)
+        x[of[a:b], column[a:b] - at] = 1
+        out += x[:split] @ (x[split:] if split < len(sets_) else x).T
+    return out
+
+
+def joining(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of the links a[i], b[i] between n classes so many, by number, as join what all of them join: less than n."""
+    label, chosen = np.arange(n), []
+    left = np.arange(len(a))
+    while True:
+        lo, hi = np.minimum(label[a[left]], label[b[left]]), np.maximum(label[a[left]], label[b[left]])
+        apart = lo < hi
+        left, lo, hi = left[apart], lo[apart], hi[apart]
+        if not len(left):
+            return np.concatenate(chosen) if chosen else left
+        order = np.lexsort((lo, hi))
+        heads = order[np.r_[True, np.diff(hi[order]) > 0]]  # each hangs itself on the smallest, so that no cycle can arise
+        chosen.append(left[heads])
+        up = np.arange(n)
+        up[hi[heads]] = lo[heads]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def block_links(rows: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Links (__id, __leader) of at least the similarity that join the classes in each bucket of rows(__bucket, __n, __id, __class): all
+    members of different classes are compared, in pairs of blocks that hold at most about BLOCK of them each."""
+    blocks = F.ceil(F.col("__n") / BLOCK).cast("int")
+    dealt = rows.withColumn("__blocks", blocks).withColumn("__own", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    dealt = dealt.select("__bucket", F.least("__own", "__other").alias("__x"), F.greatest("__own", "__other").alias("__y"), "__own", "__id", "__class")
+    wide = dealt.join(members.hint("shuffle_merge"), "__id").select("__bucket", "__x", "__y", "__own", "__id", "__class", "__set")
+
+    def compared(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        own, first, second = (group.column(c).to_numpy() for c in ("__own", "__x", "__y"))
+        order = np.argsort(own, kind="stable")
+        split = int((own == first[0]).sum())
+        ids, of = group.column("__id").to_numpy()[order], np.unique(group.column("__class").to_numpy()[order], return_inverse=True)[1]
+        none = np.zeros(0, np.int64)
+        i, j = none, none
+        if of.max() > 0 and (first[0] == second[0] or split < len(own)):
+            lists = group.column("__set").combine_chunks()
+            flat, ends = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            own_sets = [flat[ends[r] : ends[r + 1]] for r in order]
+            size = np.array([len(x) for x in own_sets])
+            both = common_units(own_sets, split).astype(np.float64)
+            there = np.arange(split, len(size)) if split < len(size) else np.arange(split)
+            i, j = np.nonzero((both >= least * (size[:split, None] + size[there][None, :] - both)) & (of[:split, None] != of[there][None, :]))
+            j = there[j]
+            some = joining(of[i], of[j], int(of.max()) + 1)
+            i, j = i[some], j[some]
+        return pa.table({"__id": pa.array(ids[i], pa.int64()), "__leader": pa.array(ids[j], pa.int64())})
+
+    return wide.groupBy("__bucket", "__x", "__y").applyInArrow(compared, "__id long, __leader long")
 
 
 def verified(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
@@ -224,21 +281,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     names, _ = absorbed(names, staged(verified(best, members, similarity), "near-links", n, heavy=True), n)
     apart = named(named(pairs, names, "__id", "__a"), names, "__leader", "__b").filter("__a <> __b")
     names, _ = absorbed(names, staged(verified(apart.select("__id", "__leader"), members, similarity), "near-links", n, heavy=True), n)
-    # members of buckets with several classes are hashed anew, with purer buckets, until that joins nothing
-    own = named(buckets.select("__bucket", "__id"), names, "__id", "__a")
-    several = own.groupBy("__bucket").agg(F.min("__a").alias("lo"), F.max("__a").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and n > 2").select("__bucket")
-    left = staged(own.join(several.hint("shuffle_merge"), "__bucket", "left_semi").select("__id").distinct(), "near-left", n)
-    rest = left.count()
-    again = staged(join_counted(words, left, "__id", "left_semi", rest, 16), "near-left-texts") if rest else None
-    tried = docs.sparkSession.createDataFrame([], "__id long, __leader long")
-    for turn in range(1, MOST_ROUNDS + 1 if rest else 1):
-        bands = staged(signed(again, *LATER, seed=turn).dropDuplicates(["__id", "__bands"]), "near-again", rest * 20, heavy=True)
-        new = still_apart(named(bands, names, "__id", "__class"), turn)
-        new = staged(new.join(tried, ["__id", "__leader"], "left_anti"), "near-pairs", rest * TRIED)
-        tried = tried.unionAll(new)
-        names, joined = absorbed(names, staged(verified(new, members, similarity), "near-links", n, heavy=True), n)
-        if not joined:
-            break
+    # in buckets that still hold several classes all members are compared; buckets of the same members count once
+    own = staged(named(buckets.select("__bucket", "__id"), names, "__id", "__a"), "near-own")
+    several = own.groupBy("__bucket").agg(F.min("__a").alias("lo"), F.max("__a").alias("hi"), F.count(F.lit(1)).alias("__n"), F.bit_xor(F.xxhash64("__id")).alias("x"), F.sum(F.xxhash64("__id", F.lit(1)).cast("decimal(20,0)")).alias("y"))
+    several = staged(several.filter("lo <> hi and __n > 2").groupBy("__n", "x", "y").agg(F.min("__bucket").alias("__bucket")).select("__bucket", "__n"), "near-several")
+    mixed_ = own.join(several.hint("shuffle_merge"), "__bucket").select("__bucket", "__n", "__id", F.col("__a").alias("__class"))
+    names, _ = absorbed(names, staged(block_links(mixed_, members, similarity), "near-links"), n)
     found = texts.join(nodes.hint("shuffle_merge"), "__hash", "left").select("__id", "__node")
     found = found.join(names.select(F.col("__id").alias("__node"), "__class").hint("shuffle_merge"), "__node", "left")
     class_id = F.coalesce("__class", "__node", "__id")

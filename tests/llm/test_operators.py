@@ -171,6 +171,39 @@ def test_near_duplicates(spark, docs):
     assert sorted(r.doc_id for r in neardup.without_duplicates(df).collect()) == sorted(set(got.values()))
 
 
+def test_near_duplicates_of_one_template(spark):
+    """Many texts just below and above the similarity, and blocks smaller than their buckets."""
+    rng, rows = random.Random(11), []
+    base = [f"t{i}" for i in range(120)]
+    for k in range(500):
+        own = rows[rng.randrange(len(rows))][1].split() if rows and rng.random() < 0.3 else base[:]
+        for i in range(rng.choice((2, 3, 3, 4))):
+            own[rng.randrange(120)] = f"n{k}x{i}"
+        rows.append((k, " ".join(own)))
+    want = brute_classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in collected(neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert 50 < len(set(want.values())) < 480 and got == want
+
+
+def test_links_of_blocks_join_what_all_pairs_join(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    own = [np.unique(rng.choice(40, 34, replace=False)).astype(np.int32) for _ in range(90)]
+    members = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(own)], "__id long, __set array<int>")
+    rows = spark.createDataFrame([(7, 90, i, i // 2) for i in range(90)], "__bucket long, __n long, __id long, __class long")
+
+    def joined(links):
+        label = [i // 2 for i in range(90)]
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = [min(x, y) if v in (x, y) else v for v in label]
+        return label
+
+    pairs = [(i, j) for i in range(90) for j in range(i) if len(np.intersect1d(own[i], own[j])) >= 0.8 * len(np.union1d(own[i], own[j]))]
+    links = [(r["__id"], r["__leader"]) for r in neardup.block_links(rows, members, 0.8).collect()]
+    assert set(links) <= set(pairs) | {(b, a) for a, b in pairs} and joined(links) == joined(pairs) and len(set(joined(pairs))) < 45
+
+
 def test_near_duplicate_edges(spark, odd):
     rows = collected(neardup.classes(odd))
     assert len(rows) == 8
