@@ -4,7 +4,9 @@ Words are numbered by hash. From a start, a CGK walk reads a word at each step a
 and the step: two passages a small edit distance apart soon walk in step again, so their walks differ in few places. A hash
 reads the walk at a few random steps; several hashes, over windows at every second word (those whose hash is even, in items and
 documents alike), reach the recall wanted. The walk covers the item: short items are walked for SHORT steps, others for LONG ones.
-What shares a hash with an item is verified by the exact word edit distance of the item to the best passage of the document there.
+Walks alone lose copies with many edits, so items are also met by runs of equal words, which lose none: e edits of n words leave a
+run of (n - e) / (e + 1) words or more untouched, and every such run of an item is looked for at every word of a document.
+What shares a hash or a run with an item is verified by the exact word edit distance of the item to the best passage of the document there.
 
 Items are taken in blocks of bounded size, each broadcast; documents are never shuffled.
 
@@ -15,6 +17,7 @@ each place where it occurs; empty tables give no rows; other columns are ignored
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,8 @@ _RNG = np.random.default_rng(21)
 STEPS = {s: np.sort(np.array([_RNG.choice(s, SAMPLES, replace=False) for _ in range(HASHES)]), axis=1) for s in (SHORT, LONG)}
 FACTORS = _RNG.integers(1, 1 << 62, (HASHES, SAMPLES), dtype=np.uint64) | np.uint64(1)
 SIEVE_BITS = 22
+#: The longest run of equal words that is looked for; a shorter one than the bound leaves loses nothing.
+MOST_RUN = 4
 
 
 def anchors(words: np.ndarray) -> np.ndarray:
@@ -63,6 +68,21 @@ def walked(words: np.ndarray, starts: np.ndarray, classes: tuple[int, ...] = (SH
             yield c, h, out
 
 
+def run_length(n: int, share: float) -> int:
+    """Words that stay together in any copy of n words within the bound, up to MOST_RUN."""
+    e = int(share * n)
+    return min(MOST_RUN, -(-(n - e) // (e + 1)))
+
+
+def word_runs(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on."""
+    out = np.full(max(0, len(words) - n + 1), n, np.uint64)
+    for i in range(n):
+        out = (out ^ words[i : i + len(out)]) * FACTORS[0, i]
+        out ^= out >> np.uint64(31)
+    return out
+
+
 def edits(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Fewest edits that turn the item into some part of the passage, and that part's start and end: the exact distance by
     rows, where a word of the passage before or after the part costs nothing."""
@@ -86,9 +106,9 @@ def edits(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """The items' words, and by hash which item and at which word of it."""
+    """The items' words, and by hash which item and at which word of it. share: of an item's words, the edits that hits() may take."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], share: float = EDITS):
         self.ids, self.words, self.sizes = [], [], []
         keys, places = [], []
         texts = hashed(pa.array([t for _, t in rows], pa.string()))
@@ -103,6 +123,9 @@ class Items:
             for _, _, h in walked(words, starts, (c,)):
                 keys.append(h)
                 places.append(np.stack([np.full(len(starts), len(self.ids)), starts], axis=1))
+            n = run_length(len(words), share)
+            keys.append(word_runs(words, n))
+            places.append(np.stack([np.full(len(words) - n + 1, len(self.ids)), np.arange(len(words) - n + 1)], axis=1))
             self.ids.append(item)
             self.words.append(words)
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -110,6 +133,7 @@ class Items:
         self.keys, self.places = keys[order], (np.concatenate(places)[order] if len(order) else np.zeros((0, 2), np.int64))
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
         self.sieve[(self.keys >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
+        self.runs = sorted({run_length(len(w), share) for w in self.words})
         self.classes = tuple(c for c in (SHORT, LONG) if any((len(w) >= LONG_FROM) == (c == LONG) for w in self.words))
 
     def candidates(self, words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -119,7 +143,8 @@ class Items:
         chosen = (words >> np.uint64(63) == 0) & (words != 0)
         chosen[firsts] = True
         starts = np.flatnonzero(chosen)
-        for _, _, h in walked(words, starts, self.classes):
+        every = [(np.arange(len(words) - n + 1), word_runs(words, n)) for n in self.runs if n <= len(words)]
+        for starts, h in itertools.chain(((starts, h) for _, _, h in walked(words, starts, self.classes)), every):
             hit = np.flatnonzero(self.sieve[(h >> np.uint64(64 - SIEVE_BITS)).view(np.int64)])
             if not len(hit):
                 continue
@@ -178,7 +203,7 @@ def found(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     schema = f"`{id_col}` {kind}, `{item_col}` long, start long, end long, edits int, item_words int"
     names = [id_col, item_col, "start", "end", "edits", "item_words"]
     for block in item_blocks(benchmark, item_col, item_text, at_once):
-        sent = spark.sparkContext.broadcast(Items(block))
+        sent = spark.sparkContext.broadcast(Items(block, share))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
@@ -203,7 +228,7 @@ def without_copies(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
     """docs without the documents that hold a copy of an item; all columns stay, and nothing is shuffled."""
     spark, at = docs.sparkSession, docs.columns.index(text_col)
     for block in item_blocks(benchmark, item_col, item_text, at_once):
-        sent = spark.sparkContext.broadcast(Items(block))
+        sent = spark.sparkContext.broadcast(Items(block, share))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value

@@ -356,6 +356,28 @@ def test_decontamination_recall_on_edited_items(spark):
     assert hits >= 90 and not any(index.hits(clean, 0.2))
 
 
+def edited(rng, words, n):
+    """words after n edits, each at another word: a substitution, an insertion after it or a deletion."""
+    out, at = [], set(rng.sample(range(len(words)), n))
+    for i, w in enumerate(words):
+        kind = rng.randrange(3) if i in at else 3
+        out += [[f"new{rng.randrange(10**6)}"], [w, f"new{rng.randrange(10**6)}"], [], [w]][kind]
+    return out
+
+
+def recall_of_copies(n, k, trials=60):
+    rng = random.Random(n * 100 + k)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for i in range(trials)]
+    index, host = decontaminate.Items(items), lambda: [f"h{rng.randrange(5000)}" for _ in range(rng.randrange(20, 60))]
+    docs = [words(" ".join(host() + edited(rng, t.split(), k) + host())) for _, t in items]
+    return sum(any(h[0] == i for h in hits) for i, hits in enumerate(index.hits(docs, 0.2))) / trials
+
+
+@pytest.mark.parametrize("n", [30, 35, 40, 59])
+def test_decontamination_finds_every_copy_at_the_bound(n):
+    assert recall_of_copies(n, int(0.2 * n)) == 1
+
+
 def test_decontamination_edges(spark, odd):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None), (3, ""), (4, "w1 w2")], "item_id long, text string")
     assert decontaminate.found(odd, bench).count() == 0
