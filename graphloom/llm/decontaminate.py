@@ -10,8 +10,8 @@ What shares a hash or a run with an item is verified by the exact word edit dist
 
 Items are taken in blocks of bounded size, each broadcast; documents are never shuffled.
 
-Defined results: null and empty texts match nothing, and an item of fewer than LEAST_WORDS words is never searched for; equal
-documents give equal hits; items of equal text are all reported; the best passage for an item and document is reported once for
+Defined results: null and empty texts match nothing, and an item of fewer than LEAST_WORDS words only matches its words
+as they are, without an edit; equal documents give equal hits; items of equal text are all reported; the best passage for an item and document is reported once for
 each place where it occurs; empty tables give no rows; other columns are ignored.
 """
 
@@ -49,7 +49,7 @@ def anchors(words: np.ndarray) -> np.ndarray:
 
 def walked(words: np.ndarray, starts: np.ndarray, classes: tuple[int, ...] = (SHORT, LONG)) -> Iterator[tuple[int, int, np.ndarray]]:
     """(class, hash number, hash of each start). Past the end, a walk reads zeros."""
-    steps = max(classes)
+    steps = max(classes, default=0)
     x = np.concatenate([words, np.zeros(steps + 1, np.uint64)])
     used = {c: {int(s): None for s in np.unique(STEPS[c])} for c in classes}
     at = starts.copy()
@@ -68,9 +68,13 @@ def walked(words: np.ndarray, starts: np.ndarray, classes: tuple[int, ...] = (SH
             yield c, h, out
 
 
+def most_edits(n: int, share: float) -> int:
+    return int(share * n) if n >= LEAST_WORDS else 0
+
+
 def run_length(n: int, share: float) -> int:
     """Words that stay together in any copy of n words within the bound, up to MOST_RUN."""
-    e = int(share * n)
+    e = most_edits(n, share)
     return min(MOST_RUN, -(-(n - e) // (e + 1)))
 
 
@@ -114,15 +118,16 @@ class Items:
         texts = hashed(pa.array([t for _, t in rows], pa.string()))
         for i, (item, _) in enumerate(rows):
             words = texts.of(i)
-            if len(words) < LEAST_WORDS:
+            if not len(words):
                 continue
-            c = LONG if len(words) >= LONG_FROM else SHORT
-            reach = min(len(words), (c + 1) // 2)  # a walk of c steps reads about half as many words
-            starts = anchors(words)
-            starts = np.union1d(starts[starts <= len(words) - reach], [0])
-            for _, _, h in walked(words, starts, (c,)):
-                keys.append(h)
-                places.append(np.stack([np.full(len(starts), len(self.ids)), starts], axis=1))
+            if len(words) >= LEAST_WORDS:
+                c = LONG if len(words) >= LONG_FROM else SHORT
+                reach = min(len(words), (c + 1) // 2)  # a walk of c steps reads about half as many words
+                starts = anchors(words)
+                starts = np.union1d(starts[starts <= len(words) - reach], [0])
+                for _, _, h in walked(words, starts, (c,)):
+                    keys.append(h)
+                    places.append(np.stack([np.full(len(starts), len(self.ids)), starts], axis=1))
             n = run_length(len(words), share)
             keys.append(word_runs(words, n))
             places.append(np.stack([np.full(len(words) - n + 1, len(self.ids)), np.arange(len(words) - n + 1)], axis=1))
@@ -134,7 +139,7 @@ class Items:
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
         self.sieve[(self.keys >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
         self.runs = sorted({run_length(len(w), share) for w in self.words})
-        self.classes = tuple(c for c in (SHORT, LONG) if any((len(w) >= LONG_FROM) == (c == LONG) for w in self.words))
+        self.classes = tuple(c for c in (SHORT, LONG) if any((len(w) >= LONG_FROM) == (c == LONG) for w in self.words if len(w) >= LEAST_WORDS))
 
     def candidates(self, words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """Rows (place in words where the item would start, item) that share a hash; words holds documents one after the other,
@@ -171,12 +176,13 @@ class Items:
             words = np.concatenate([x for d in some for x in (d, np.zeros(1, np.uint64))])
             for doc, item, start in self.candidates(words, ends - [len(d) + 1 for d in some]).tolist():
                 own, text = self.words[item], some[doc]
-                slack = 4 + int(share * len(own))
+                most = most_edits(len(own), share)
+                slack = 4 + most
                 a, b = max(0, start - slack), min(len(text), start + len(own) + slack + 4)
-                if np.isin(own, text[a:b]).sum() < len(own) - int(share * len(own)):
+                if np.isin(own, text[a:b]).sum() < len(own) - most:
                     continue  # within the bound, all but so many of the item's words occur there
                 n, first, end = edits(own, text[a:b])
-                if n <= share * len(own):
+                if n <= most:
                     key, into = (item, a + first), out[at + doc]
                     into[key] = min(into.get(key, (n, a + end)), (n, a + end))
             at = to

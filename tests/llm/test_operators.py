@@ -378,6 +378,17 @@ def test_decontamination_finds_every_copy_at_the_bound(n):
     assert recall_of_copies(n, int(0.2 * n)) == 1
 
 
+@pytest.mark.parametrize("n", range(1, 16))
+def test_decontamination_finds_every_copy_of_short_items(n):
+    assert recall_of_copies(n, 0) == recall_of_copies(n, int(0.2 * n) if n >= 8 else 0) == 1
+
+
+def test_short_items_match_only_as_they_are():
+    index = decontaminate.Items([(1, "red green blue"), (2, "one two three four five six seven"), (3, "")])
+    texts = ["a red green blue b", "a red green x blue b", "one two three four five six seven", "one two three four x six seven", ""]
+    assert [[h[0] for h in hits] for hits in index.hits([words(t) for t in texts], 0.2)] == [[0], [], [1], [], []]
+
+
 def test_decontamination_edges(spark, odd):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None), (3, ""), (4, "w1 w2")], "item_id long, text string")
     assert decontaminate.found(odd, bench).count() == 0
