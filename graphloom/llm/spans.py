@@ -1,13 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of RUN consecutive sentences, or of as many more as it takes to have LEAST_WORDS words, is hashed, and the hashes are
-joined over all documents. The first run of its hash, by id and place, stays; the sentences that any other run of it covers are
+Every run of RUN consecutive sentences, or of as many more as it takes to have LEAST_WORDS words, is hashed, and so is every single
+sentence of LONE_WORDS words; the hashes are joined over all documents. The first run of its hash, by id and place, stays; the sentences that any other run of it covers are
 removed, wherever runs overlap, too.
 
 A sentence ends at . ! or ? before white space, or at a line's end; case, punctuation and spacing are ignored in hashing. A few
 very short sentences can agree by chance, hence the number of words.
 
-Defined results: a null text stays null, texts of fewer sentences than a run stay whole; repeats inside one document count like
+Defined results: a null text stays null, texts of fewer sentences than a run, none of them long, stay whole; repeats inside one document count like
 those between documents; of rows with equal ids the one with the smaller text hash is the earlier, and of equal rows all stay or go
 alike after the first place; null ids come first; other columns are ignored by the query and carried along by the operator.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import join_counted, staged
 from graphloom.llm.words import hashed, mixed
 
-RUN, LEAST_WORDS = 3, 10
+RUN, LEAST_WORDS, LONE_WORDS = 2, 10, 25
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?!\s|$)[^.!?\n]*)*(?:[.!?]+|\n|$)\s*")
 _BASE = 0x9E3779B97F4A7C15
 _TURN = np.random.default_rng(17).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -55,7 +55,7 @@ def runs(text: str, run: int = RUN, least: int = LEAST_WORDS) -> Runs:
     own = np.flatnonzero(n)
     n = n[own]
     none = np.zeros(0, np.int64)
-    if len(own) < run:
+    if not len(own):
         return Runs(spans, own, none, none, none)
     head = np.cumsum(n) - n
     place = np.arange(n.sum()) - np.repeat(head, n)
@@ -63,6 +63,8 @@ def runs(text: str, run: int = RUN, least: int = LEAST_WORDS) -> Runs:
     first = np.arange(len(own))
     last = np.maximum(np.searchsorted(np.cumsum(n), head + least), first + run - 1)
     first, last = first[last < len(own)], last[last < len(own)]
+    lone = np.flatnonzero(n >= max(LONE_WORDS, least)) if run > 1 else none
+    first, last = np.concatenate([first, lone]), np.concatenate([last, lone])
     # hash of sentences i to j from prefix sums of powers of an odd number, which has an inverse
     up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(own), x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * up[:-1], dtype=np.uint64)])
@@ -71,13 +73,13 @@ def runs(text: str, run: int = RUN, least: int = LEAST_WORDS) -> Runs:
 
 
 def hashed_runs(rows: DataFrame, run: int, least: int) -> DataFrame:
-    """(__id, __tie, __at, __hash) of rows(__id, __tie, __text): a row for each run."""
+    """(__id, __tie, __at, __hash) of rows(__id, __tie, __text): a row for each run; __at is its number, and equal runs are numbered by place."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = [(r.hashes, r.first) for r in (runs(t or "", run, least) for t in part.column(2).to_pylist())]
+                got = [(r.hashes, np.arange(len(r.hashes))) for r in (runs(t or "", run, least) for t in part.column(2).to_pylist())]
                 of = pa.array(np.repeat(np.arange(part.num_rows), [len(h) for h, _ in got]), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.concatenate([a for _, a in got]), pa.int32()), pa.array(np.concatenate([h for h, _ in got]), pa.int64())], ["__id", "__tie", "__at", "__hash"])
 
@@ -97,12 +99,12 @@ def repeated(rows: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> tuple
 
 
 def covered(text: str, starts: list[int], run: int, least: int) -> list[tuple[int, int]]:
-    """Spans of the sentences that the runs from these starts cover, joined where they touch."""
+    """Spans of the sentences that the runs of these numbers cover, joined where they touch."""
     r = runs(text, run, least)
     out: list[list[int]] = []
     gone: set[int] = set()
     for s in starts:
-        gone.update(range(int(r.own[s]), int(r.own[r.last[s]]) + 1))
+        gone.update(range(int(r.own[r.first[s]]), int(r.own[r.last[s]]) + 1))
     for i in sorted(gone):
         a, b = r.spans[i]
         if out and out[-1][1] == a:

@@ -476,6 +476,15 @@ def test_sentence_span_edges(spark, odd):
     assert spans.deduplicated(odd.limit(0)).count() == 0
 
 
+def test_short_passages_of_many_words(spark):
+    two = "This passage holds only two whole sentences here. It is still repeated in another document."
+    lone = " ".join(f"word{i}" for i in range(25)) + "."
+    rows = [(1, f"Some start. {two} One end."), (2, f"Another start. {two} Another end."), (3, f"Head here. {lone} Tail here."), (4, f"Front now. {lone} Back now."), (5, lone), (6, lone[6:])]
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in collected(spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got[2] == (2, "Another start. Another end.") and got[4] == (1, "Front now. Back now.") and got[5] == (1, "")
+    assert [got[k][0] for k in (1, 3, 6)] == [0, 0, 0]
+
+
 # sharding
 
 
