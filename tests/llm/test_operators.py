@@ -291,6 +291,22 @@ def test_nearest_recall_and_scores(spark):
     assert hit / n >= 0.9
 
 
+def test_probes_hold_recall_on_a_large_table():
+    """Random vectors, all tables and probes of the operator, against brute force."""
+    rng, n, width, names = np.random.default_rng(8), 200_000, 64, 128
+    x = rng.normal(size=(n, width)).astype(np.float32)
+    unit, asked = neighbours.padded(x), np.arange(0, n, 5000)
+    signs, each = neighbours.rotations(width, neighbours.TABLES), neighbours.probes_each(n, names, neighbours.TABLES, neighbours.CANDIDATES)
+    score = unit[asked] @ unit.T
+    score[np.arange(len(asked)), asked] = -2
+    want, seen = np.argsort(-score, axis=1)[:, :5], np.zeros((len(asked), 5), bool)
+    near = unit[want.ravel()]
+    for s in signs:  # found if the neighbour's bucket is among those probed, as ranking is exact
+        there, looked = neighbours.bucket_names(near, s).reshape(-1, 5), neighbours.probes(unit[asked], s, each)
+        seen |= (there[:, :, None] == looked[:, None, :]).any(axis=2)
+    assert seen.mean() >= 0.9
+
+
 def test_nearest_edges(spark):
     v = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, 1.0]), (50, [1.0, 0.0]), (51, [1.0, 2.0, 3.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]), (100, [2.0, 0.0])] + [(200 + i, [1.0, 0.0]) for i in range(9)]
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("rank", F.lit(1))
