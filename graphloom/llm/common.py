@@ -7,6 +7,9 @@ import shutil
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,11 +87,23 @@ def sampled(df: DataFrame, key: list[Column], n: int) -> DataFrame:
     return out.dropDuplicates(["__h"]).orderBy("__h").limit(n).drop("__h")
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows, whose values in the column have at most about so many bytes, or of one row."""
+    col, at = batch.column(column), 0
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(col).to_numpy(zero_copy_only=False).astype(np.float64)))
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0.0
+        n = max(1, min(rows, int(np.searchsorted(ends, before + size, "right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
 def texts_in(batches: Iterator, columns: list[str], rows: int = 256) -> Iterator[tuple[list, ...]]:
-    """Lists of the named columns' values, a few hundred rows at a time."""
+    """Lists of the named columns' values, a few hundred rows at a time, fewer where the last column's texts are long."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
+        for part in slices(batch, batch.schema.get_field_index(columns[-1]), rows):
             yield tuple(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns)
 
 

@@ -1,20 +1,24 @@
 """Substring dedup by sliding sentence spans.
 
 Every run of RUN consecutive sentences, or of as many more as it takes to have LEAST_WORDS words, is hashed, and so is every single
-sentence of LONE_WORDS words; the hashes are joined over all documents. The first run of its hash, by id and place, stays; the sentences that any other run of it covers are
-removed, wherever runs overlap, too.
-
-A sentence ends at . ! or ? before white space, or at a line's end; case, punctuation and spacing are ignored in hashing. A few
-very short sentences can agree by chance, hence the number of words.
-
-Defined results: a null text stays null, texts of fewer sentences than a run, none of them long, stay whole; repeats inside one document count like
-those between documents; of rows with equal ids the one with the smaller text hash is the earlier, and of equal rows all stay or go
-alike after the first place; null ids come first; other columns are ignored by the query and carried along by the operator.
+sentence of LONE_WORDS words; the hashes are joined over all documents. The first run of its hash, by id and place, stays; the
+sentences that any other run of it covers are removed, wherever runs overlap, too.
+
+A sentence ends at . ! or ? unless a letter or digit follows, at their full-width forms, or at a line's end; a stretch of more than
+LONGEST words without an end is cut after words chosen by their hash, so that equal stretches are cut alike wherever they begin.
+Case, punctuation and spacing are ignored in hashing. Short runs agree by chance, the more often the larger the corpus, hence
+the number of words.
+
+Defined results: a null text stays null, texts of fewer words than a run, and of fewer sentences if none is long, stay whole;
+repeats inside one document count like those between documents; of rows with equal ids the one with the smaller text hash is the
+earlier, and of equal rows all stay or go alike after the first place; null ids come first; columns of the result's names
+(n_removed, removed) are replaced, all other columns are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import join_counted, staged
+from graphloom.llm.common import join_counted, slices, staged
 from graphloom.llm.words import hashed, mixed
 
-RUN, LEAST_WORDS, LONE_WORDS = 2, 10, 25
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?!\s|$)[^.!?\n]*)*(?:[.!?]+|\n|$)\s*")
+RUN, LEAST_WORDS, LONE_WORDS = 2, 20, 25
+#: Words from which a stretch without an end is cut, one in how many words ends a piece there, and the most words of a piece.
+LONGEST, CUT_ONE_IN, PIECE = 50, 16, 25
+SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?]+(?=\w)[^.!?。！？\n]*)*(?:[.!?。！？]+|\n|$)\s*")
+WORD = re.compile("[0-9A-Za-z_\x80-\U0010ffff]+")
 _BASE = 0x9E3779B97F4A7C15
 _TURN = np.random.default_rng(17).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -37,6 +44,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text) if m.end() > m.start()]
 
 
+def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Spans of the pieces of a stretch without an end: cut after each word that its hash chooses, and after PIECE words without one."""
+    words = list(WORD.finditer(text, start, end))
+    marks = [i + 1 for i, m in enumerate(words) if zlib.crc32(m[0].lower().encode()) % CUT_ONE_IN == 0]
+    cuts: list[int] = []
+    for a, b in zip([0, *marks], [*marks, len(words)], strict=True):
+        cuts += [*range(a + PIECE, b, PIECE), b]
+    edges = [start, *(words[c].start() for c in cuts if c < len(words)), end]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+
+
 @dataclass(frozen=True)
 class Runs:
     """Of a text: the spans of its sentences; own: those that have words. A run has a hash, and its first and last one of own."""
@@ -52,6 +70,10 @@ def runs(text: str, run: int = RUN, least: int = LEAST_WORDS) -> Runs:
     spans = sentences(text)
     words = hashed(pa.array([text[a:b] for a, b in spans], pa.string()))
     n = np.diff(words.first)
+    if (n > LONGEST).any():
+        spans = [p for (a, b), m in zip(spans, n.tolist(), strict=True) for p in (pieces(text, a, b) if m > LONGEST else [(a, b)])]
+        words = hashed(pa.array([text[a:b] for a, b in spans], pa.string()))
+        n = np.diff(words.first)
     own = np.flatnonzero(n)
     n = n[own]
     none = np.zeros(0, np.int64)
@@ -77,8 +99,7 @@ def hashed_runs(rows: DataFrame, run: int, least: int) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 2):
                 got = [(r.hashes, np.arange(len(r.hashes))) for r in (runs(t or "", run, least) for t in part.column(2).to_pylist())]
                 of = pa.array(np.repeat(np.arange(part.num_rows), [len(h) for h, _ in got]), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.concatenate([a for _, a in got]), pa.int32()), pa.array(np.concatenate([h for h, _ in got]), pa.int64())], ["__id", "__tie", "__at", "__hash"])
@@ -87,50 +108,54 @@ def hashed_runs(rows: DataFrame, run: int, least: int) -> DataFrame:
 
 
 def repeated(rows: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> tuple[DataFrame, int]:
-    """(__id, __tie, __starts): for each document the runs that came before; and the number of such documents."""
+    """(__id, __tie, __starts): for each document the runs that came before; and about how many bytes all these rows have."""
     all_ = staged(hashed_runs(rows, run, least), "span-runs")
     place = F.struct("__id", "__tie", "__at")
+    # counted before the shuffle, so that a hash that all documents share is a row of each task; written, so that both sides of
+    # the join are plain shuffles, whose hot keys adaptive execution splits
     first = all_.groupBy("__hash").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash", "f")
-    later = all_.join(first.hint("shuffle_merge"), "__hash").filter(place > F.col("f"))
+    first = staged(first, "span-first")
+    later = join_counted(all_, first, "__hash", "inner", first.count(), 48).filter(place > F.col("f"))
     # a text's hash stands for it: a row that is repeated whole shares its place with the first and stays
-    found = later.groupBy("__id", "__tie").agg(F.sort_array(F.collect_set("__at")).alias("__starts"))
-    found = staged(found, "span-found")
-    return found, found.count()
+    found = staged(later.groupBy("__id", "__tie").agg(F.sort_array(F.collect_set("__at")).alias("__starts")), "span-found")
+    n = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__starts")).alias("s")).first()
+    return found, 64 * n["n"] + 8 * (n["s"] or 0)
 
 
-def covered(text: str, starts: list[int], run: int, least: int) -> list[tuple[int, int]]:
-    """Spans of the sentences that the runs of these numbers cover, joined where they touch."""
+def covered(text: str, starts: list[int], run: int, least: int) -> tuple[list[tuple[int, int]], int]:
+    """Spans of the sentences that the runs of these numbers cover, joined where they touch, and the number of sentences."""
     r = runs(text, run, least)
+    edge = np.zeros(len(r.spans) + 1, np.int64)
+    np.add.at(edge, r.own[r.first[starts]], 1)
+    np.add.at(edge, r.own[r.last[starts]] + 1, -1)
+    gone = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     out: list[list[int]] = []
-    gone: set[int] = set()
-    for s in starts:
-        gone.update(range(int(r.own[r.first[s]]), int(r.own[r.last[s]]) + 1))
-    for i in sorted(gone):
+    for i in gone.tolist():
         a, b = r.spans[i]
         if out and out[-1][1] == a:
             out[-1][1] = b
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out]
+    return [(a, b) for a, b in out], len(gone)
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
     """docs with the repeated sentences taken out of the text, and with n_removed (sentences) and removed (their spans in the old text)."""
     tie = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), tie.alias("__tie"), F.col(text_col).alias("__text"))
-    found, n = repeated(rows, run, least)
+    found, size = repeated(rows, run, least)
     kept = [c for c in docs.columns if c not in ("n_removed", "removed")]
     left = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(id_col).cast("string"), F.lit("~")).alias("__key"), tie.alias("__tie"))
     found = found.select(F.coalesce(F.col("__id").cast("string"), F.lit("~")).alias("__key"), "__tie", "__starts")
-    joined = join_counted(left, found, ["__key", "__tie"], "left", n, 256)
+    joined = join_counted(left, found, ["__key", "__tie"], "left", 1, size)
     at = kept.index(text_col)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old, starts = batch.column(at).to_pylist(), batch.column(len(kept)).to_pylist()
-            gone = [covered(t, s, run, least) if t and s else [] for t, s in zip(old, starts, strict=True)]
+            both = [covered(t, s, run, least) if t and s else ([], 0) for t, s in zip(old, starts, strict=True)]
+            gone, count = [g for g, _ in both], [n for _, n in both]
             new = [t if not g else "".join(t[a:b] for a, b in zip([0, *(e for _, e in g)], [*(s for s, _ in g), len(t)], strict=True)) for t, g in zip(old, gone, strict=True)]
-            count = [len([1 for a, b in sentences(t) if any(x <= a and b <= y for x, y in g)]) if g else 0 for t, g in zip(old, gone, strict=True)]
             cols = [batch.column(i) for i in range(len(kept))]
             cols[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int32()), pa.array([[{"start": a, "end": b} for a, b in g] for g in gone], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*kept, "n_removed", "removed"])
