@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import join_counted, slices, staged
+from graphloom.llm.common import slices, staged
 from graphloom.llm.words import hashed, mixed
 
 RUN, LEAST_WORDS, LONE_WORDS = 2, 20, 25
@@ -107,19 +107,17 @@ def hashed_runs(rows: DataFrame, run: int, least: int) -> DataFrame:
     return rows.mapInArrow(go, "__id long, __tie long, __at int, __hash long")
 
 
-def repeated(rows: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> tuple[DataFrame, int]:
-    """(__id, __tie, __starts): for each document the runs that came before; and about how many bytes all these rows have."""
+def repeated(rows: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
+    """(__id, __tie, __starts): for each document the runs that came before."""
     all_ = staged(hashed_runs(rows, run, least), "span-runs")
     place = F.struct("__id", "__tie", "__at")
     # counted before the shuffle, so that a hash that all documents share is a row of each task; written, so that both sides of
     # the join are plain shuffles, whose hot keys adaptive execution splits
     first = all_.groupBy("__hash").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash", "f")
     first = staged(first, "span-first")
-    later = join_counted(all_, first, "__hash", "inner", first.count(), 48).filter(place > F.col("f"))
+    later = all_.join(first.hint("shuffle_merge"), "__hash").filter(place > F.col("f"))
     # a text's hash stands for it: a row that is repeated whole shares its place with the first and stays
-    found = staged(later.groupBy("__id", "__tie").agg(F.sort_array(F.collect_set("__at")).alias("__starts")), "span-found")
-    n = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__starts")).alias("s")).first()
-    return found, 64 * n["n"] + 8 * (n["s"] or 0)
+    return staged(later.groupBy("__id", "__tie").agg(F.sort_array(F.collect_set("__at")).alias("__starts")), "span-found")
 
 
 def covered(text: str, starts: list[int], run: int, least: int) -> tuple[list[tuple[int, int]], int]:
@@ -143,11 +141,11 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """docs with the repeated sentences taken out of the text, and with n_removed (sentences) and removed (their spans in the old text)."""
     tie = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), tie.alias("__tie"), F.col(text_col).alias("__text"))
-    found, size = repeated(rows, run, least)
+    found = repeated(rows, run, least)
     kept = [c for c in docs.columns if c not in ("n_removed", "removed")]
     left = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(id_col).cast("string"), F.lit("~")).alias("__key"), tie.alias("__tie"))
     found = found.select(F.coalesce(F.col("__id").cast("string"), F.lit("~")).alias("__key"), "__tie", "__starts")
-    joined = join_counted(left, found, ["__key", "__tie"], "left", 1, size)
+    joined = left.join(found.hint("shuffle_merge"), ["__key", "__tie"], "left")  # both sides grow with the corpus
     at = kept.index(text_col)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
