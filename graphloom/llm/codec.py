@@ -1,10 +1,14 @@
 """Block codec for token ids: an adaptive context-mixing range coder.
 
-A block is split into lanes of equal length that are coded side by side. Three predictors look at each id: an order-2 and an
-order-1 table name the id that last followed their context, with a confidence, and order-0 counts give every id a share.
-How far each is trusted is learned as counts for each pair of confidences; these weights first code which predictor is right,
-and the order-0 shares code the id where neither table is. All models start anew in each block and learn after each chunk of
-steps, from what both sides know by then. A carryless 48-bit range coder in each lane turns shares into 16-bit words.
+A block is split into lanes of equal length that are coded side by side, in chunks of steps. What is known of the ids of earlier
+chunks predicts the next chunk's; all models start anew in each block. Order 0 gives every id a share by the number of ids it
+followed. Order 1 gives those that followed the last id their discounted counts, and the discounts as weight to order 0; both are
+summed, id by id, into one distribution. Order 2 names the id that followed the last two most often; its share mixes how sure
+order 2 is and how likely the lower orders find that id, by counts learned for each pair of both. A flag by that share says
+whether it is the id; if not, the id is coded by the sum of orders 1 and 0 without it. A carryless 64-bit range coder in each
+lane turns shares into 16-bit words.
+
+Places in the sum of both orders are kept as one sorted array over all contexts, so that an id is found by one binary search.
 
 A block: magic, header (counts, lengths, checksums), the documents' ids and lengths, the lanes' word counts, the words. Blocks
 can be decoded alone, and a file is blocks one after the other.
@@ -21,62 +25,108 @@ import numpy as np
 
 MAGIC = b"GLCM"
 HEAD = struct.Struct("<4sHHIIIIIIII")
-VERSION = 1
-MAX_LANES, LEAST_STEPS, MAX_CHUNK = 8192, 128, 16
-FLAG_BITS, SHARE_BITS, TABLE2_BITS = 16, 19, 18
-LOW32, TOP = np.uint64((1 << 32) - 1), np.uint64(1 << 32)
+VERSION = 2
+MAX_LANES, LEAST_STEPS = 8192, 128
+#: Bits of the flag's share, of the sum of orders 0 and 1, of order 0's shares in it, and of the table of order 2.
+FLAG_BITS, SUM_BITS, SHARE_BITS, TABLE_BITS = 16, 30, 19, 19
+#: Levels of how likely the lower orders find a guess, and bits of a state, which pairs that with how sure order 2 is.
+LEVELS, STATE_BITS = 23, 10
+TOP, LOW = np.uint64(1 << 48), np.uint64((1 << 48) - 1)
+ONE, U16, U32, U48 = (np.uint64(x) for x in (1, 16, 32, 48))
+#: Steps that are prepared at once.
+AT_ONCE = 4
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[at], np.diff(np.r_[at, len(keys)])
 
 
 class Model:
-    """What both sides know of the ids so far."""
+    """What both sides know of the ids of the chunks so far."""
 
     def __init__(self, vocab: int):
-        self.vocab, self.bits = vocab, max(SHARE_BITS, vocab.bit_length() + 3)
-        self.next1, self.sure1 = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int8)
-        self.next2, self.sure2 = np.zeros(1 << TABLE2_BITS, np.int32), np.zeros(1 << TABLE2_BITS, np.int8)
-        self.counts, self.right = np.zeros(vocab, np.int64), np.full((128, 3), [1.0, 1.0, 6.0])
-        self.settle()
-
-    def settle(self) -> None:
-        """Shares and weights, as whole numbers that add up to powers of two."""
-        room, seen = (1 << self.bits) - self.vocab, max(1, int(self.counts.sum()))
-        share = self.counts * room // seen + 1
-        share[int(share.argmax())] += (1 << self.bits) - int(share.sum())
-        self.share = share.astype(np.uint64)
-        self.below = (np.cumsum(share) - share).astype(np.uint64)
-        self.which = np.repeat(np.arange(self.vocab, dtype=np.int32), share)
-        w = self.right / self.right.sum(axis=1, keepdims=True)
-        f = np.floor(w * ((1 << FLAG_BITS) - 3)).astype(np.int64) + 1
-        f[:, 2] += (1 << FLAG_BITS) - f.sum(axis=1)
-        self.flag, self.flag_below = f.astype(np.uint64), (np.cumsum(f, axis=1) - f).astype(np.uint64)
-
-    def contexts(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Places in both tables, both predictions, and the state that picks the weights."""
-        at1 = last & 0xFFFF
-        at2 = (((last * 0x9E3779B1) ^ (before * 0x85EBCA6B)) & 0xFFFFFFFF) >> (32 - TABLE2_BITS)
-        two, one = self.next2[at2], self.next1[at1]
-        state = (self.sure2[at2].astype(np.int64) << 4) | (self.sure1[at1].astype(np.int64) << 1) | (two == one)
-        return at1, at2, one, two, state
-
-    def learn(self, ids: np.ndarray, at1: np.ndarray, at2: np.ndarray, state: np.ndarray, flags: np.ndarray) -> None:
-        """ids and the rest as flat arrays in the order of the steps."""
-        for next_, sure, at in ((self.next1, self.sure1, at1), (self.next2, self.sure2, at2)):
-            hit = next_[at] == ids
-            wrong = np.flatnonzero(~hit)
-            new = sure + np.bincount(at[hit], minlength=len(sure)) - np.bincount(at[wrong], minlength=len(sure))
-            lost = wrong[(new < 0)[at[wrong]]]
-            next_[at[lost]] = ids[lost]
-            sure[:] = np.clip(new, 0, 7)
-        self.counts += np.bincount(ids, minlength=self.vocab)
-        self.right += np.bincount(state * 3 + flags, minlength=128 * 3).reshape(128, 3)
-        self.settle()
+        self.vocab, self.bits, self.share_bits = vocab, max(1, (vocab - 1).bit_length()), max(SHARE_BITS, vocab.bit_length() + 3)
+        self.weight_bits = SUM_BITS - self.share_bits
+        #: ids and pairs of ids, and tables, in the narrowest type
+        self.kind, self.pair_kind = (np.int32, np.uint32) if vocab < 1 << 16 else (np.int64, np.uint64)
+        self.tried, self.right = np.full(1 << STATE_BITS, 1.0), np.full(1 << STATE_BITS, 0.5)
+        none = np.zeros(0, np.int64)
+        self.learn(none, none, none, none, none)
+
+    def learn(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray, states: np.ndarray, hits: np.ndarray) -> None:
+        """All ids so far with the one and the two before; states and hits: those of the last chunk that had a guess."""
+        bits, vocab, one, kind = self.bits, self.vocab, 1 << self.share_bits, self.kind
+        ids, last, before = (x.astype(np.int64) for x in (ids, last, before))
+        pairs, n = counted((last << bits | ids).astype(self.pair_kind))
+        self.pairs = np.r_[pairs, np.full(1, np.iinfo(self.pair_kind).max, self.pair_kind)]
+        pairs = pairs.astype(np.int64)
+        of, x = pairs >> bits, pairs & ((1 << bits) - 1)
+        # order 0: by the number of ids that each followed
+        share = np.bincount(x, minlength=vocab) * (one - vocab) // max(1, len(pairs)) + 1
+        share[int(share.argmax())] += one - int(share.sum())
+        below = np.r_[0, np.cumsum(share)]
+        self.below, self.which = below.astype(kind), np.repeat(np.arange(vocab, dtype=kind), share)
+        # order 1: counts less a half, and order 0 by the weight of what was taken away
+        kinds, all_ = np.bincount(of, minlength=vocab), np.bincount(of, n, vocab).astype(np.int64)
+        most = 1 << self.weight_bits
+        weight0 = np.where(all_ > 0, np.clip(kinds * most // np.maximum(1, 2 * all_), 1, most - 1), most)
+        self.weight0 = weight0
+        part = 2 * n - 1
+        sums, heads = np.cumsum(part), np.cumsum(kinds) - kinds
+        sums -= np.r_[0, sums][heads[of]]
+        total, weight0 = (2 * all_ - kinds)[of], weight0[of]
+        weight1 = most - weight0
+        low = weight1 * (((sums - part) << self.share_bits) // total) + weight0 * below[x]
+        end = weight1 * ((sums << self.share_bits) // total) + weight0 * below[x + 1]
+        # places of all contexts in one array, each with its bounds, its id, and what order 0 has up to it; a context begins with a place of no id
+        at = np.arange(len(pairs)) + of + 1
+        self.place, self.entry = np.empty(len(pairs) + vocab, np.int64), np.zeros((len(pairs) + vocab, 4), kind)
+        self.place[heads + np.arange(vocab)] = np.arange(vocab) << SUM_BITS
+        self.place[at] = of << SUM_BITS | low
+        self.entry[at] = np.stack([low, end, x, below[x + 1]], axis=1)
+        # order 2: the most frequent follower of each pair of ids, in a table by hash of the pair
+        triples, n = counted((last << 2 * bits) | (before << bits) | ids)
+        context = triples >> bits
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][: len(context)])
+        context = context[first]
+        best = np.maximum.reduceat(n << bits | (triples & ((1 << bits) - 1)), first) if len(first) else first
+        seen, best, guess = (np.add.reduceat(n, first) if len(first) else first), best >> bits, best & ((1 << bits) - 1)
+        sure = (best * 8 - 1) // np.maximum(seen, 1) * 4 + (best > 1) + (best > 2) + (best > 5)
+        where = np.searchsorted(self.pairs, ((context >> bits) << bits | guess).astype(self.pair_kind))
+        level = np.clip(np.frexp((end - low).astype(np.float64))[1] - SUM_BITS + LEVELS - 1, 0, LEVELS - 1)[where]  # by powers of two
+        rows = np.stack([context.astype(kind), (guess << STATE_BITS | (sure * LEVELS + level)).astype(kind), low[where].astype(kind), end[where].astype(kind)], axis=1)
+        self.table = np.full((1 << TABLE_BITS, 4), -1, kind)
+        slot = self.slot(rows[:, 0])
+        for some in (seen == 1, seen > 1):  # what was seen again stays in its slot
+            self.table[slot[some]] = rows[some]
+        self.tried += np.bincount(states, minlength=len(self.tried))
+        self.right += np.bincount(states[hits], minlength=len(self.right))
+        flag = 1 << FLAG_BITS
+        self.flag = np.clip((self.right / self.tried * flag).astype(np.int64), 16, flag - 16)
+
+    @staticmethod
+    def slot(context: np.ndarray) -> np.ndarray:
+        return (context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).view(np.int64)
+
+    def guessed(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Whether there is a guess, the flag's share (0 without one), the guessed id, its bounds, and the state."""
+        context = last << self.bits | before
+        row = self.table.take(self.slot(context), axis=0)
+        any_ = (row[:, 0] == context) & (row[:, 1] >= 0)
+        state = row[:, 1] & ((1 << STATE_BITS) - 1)
+        return any_, self.flag.take(state) * any_, row[:, 1] >> STATE_BITS, row[:, 2], row[:, 3], state
 
 
 def chunks(steps: int) -> Iterator[tuple[int, int]]:
-    at, size = 0, 1
+    """Chunks of steps, each as long as all before it."""
+    at = 0
     while at < steps:
-        yield at, min(steps, at + size)
-        at, size = at + size, min(MAX_CHUNK, size * 2)
+        to = min(steps, max(1, 2 * at))
+        yield at, to
+        at = to
 
 
 def shape(n: int) -> tuple[int, int]:
@@ -84,13 +134,12 @@ def shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def narrowed(low: np.ndarray, size: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For lanes whose range fell below 2**32: the larger part of it that crosses no multiple of 2**32."""
-    lo, rg = low[need], size[need]
-    room = TOP - (lo & LOW32)
-    over = room < rg
-    upper = over & (rg - room > room)
-    return np.where(upper, lo + room, lo), np.where(upper, rg - room, np.where(over, room, rg))
+def narrowed(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lanes whose range fell below 2**48: the larger part of it that crosses no multiple of 2**48."""
+    room = TOP - (low & LOW)
+    over = room < size
+    upper = over & (size - room > room)
+    return np.where(upper, low + room, low), np.where(upper, size - room, np.where(over, room, size))
 
 
 def encoded(ids: np.ndarray, vocab: int) -> tuple[bytes, int]:
@@ -99,46 +148,62 @@ def encoded(ids: np.ndarray, vocab: int) -> tuple[bytes, int]:
     if n == 0:
         return b"", 0
     lanes, steps = shape(n)
-    grid = np.zeros(lanes * steps, np.int64)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)  # a row for each step
-    past = np.vstack([np.zeros((2, lanes), np.int64), grid])
     model = Model(vocab)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
+    grid = np.zeros(lanes * steps, model.kind)
+    grid[:n] = ids
+    past = np.vstack([np.zeros((2, lanes), model.kind), grid.reshape(lanes, steps).T])  # a row for each step
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     cap = 64
     words, used = np.zeros((cap, lanes), np.uint16), np.zeros(lanes, np.int64)
+    whole, flag = 1 << SUM_BITS, 1 << FLAG_BITS
 
-    def put(below: np.ndarray, share: np.ndarray, bits: int) -> None:
-        nonlocal words, cap, low, size
-        r = size >> np.uint64(bits)
-        low = low + below * r
-        size = share * r
+    def renew() -> None:
+        nonlocal words, cap
         need = np.flatnonzero(size < TOP)
         while len(need):
             if int(used.max()) + 4 > cap:
                 words, cap = np.vstack([words, np.zeros((cap, lanes), np.uint16)]), cap * 2
-            lo, rg = narrowed(low, size, need)
-            words[used[need], need] = lo >> np.uint64(32)
+            lo, rg = narrowed(low[need], size[need])
+            words[used[need], need] = lo >> U48
             used[need] += 1
-            low[need], size[need] = (lo & LOW32) << np.uint64(16), rg << np.uint64(16)
+            low[need], size[need] = (lo & LOW) << U16, rg << U16
             need = need[size[need] < TOP]
 
-    whole = np.uint64(1 << model.bits)
     for a, b in chunks(steps):
-        x, last, before = grid[a:b].ravel(), past[a + 1 : b + 1].ravel(), past[a:b].ravel()
-        at1, at2, one, two, state = model.contexts(last, before)
-        flags = np.where(two == x, 0, np.where(one == x, 1, 2))
-        f, fb = model.flag[state, flags].reshape(b - a, lanes), model.flag_below[state, flags].reshape(b - a, lanes)
-        miss = flags == 2
-        s = np.where(miss, model.share[x], whole).reshape(b - a, lanes)
-        sb = np.where(miss, model.below[x], np.uint64(0)).reshape(b - a, lanes)
-        for t in range(b - a):
-            put(fb[t], f[t], FLAG_BITS)
-            put(sb[t], s[t], model.bits)
-        model.learn(x, at1, at2, state, flags)
-    if int(used.max()) + 3 > cap:
-        words = np.vstack([words, np.zeros((3, lanes), np.uint16)])
-    for shift in (32, 16, 0):
+        states, hits = [], []
+        for c in range(a, b, AT_ONCE):  # so many steps at once that the arrays stay in a core's cache
+            d = min(b, c + AT_ONCE)
+            x, last, before = past[c + 2 : d + 2].ravel(), past[c + 1 : d + 1].ravel(), past[c:d].ravel()
+            any_, share, guess, g_low, g_end, state = model.guessed(last, before)
+            hit = any_ & (guess == x)
+            states.append(state[any_])
+            hits.append(hit[any_])
+            key = (last << model.bits | x).view(model.pair_kind)
+            i = np.searchsorted(model.pairs, key)
+            own = model.pairs.take(i) == key
+            row = model.entry.take(i + last + own, axis=0)
+            s, width = row[:, 0].astype(np.int64), (row[:, 1] - row[:, 0]).astype(np.int64)
+            new = np.flatnonzero(~own)  # ids that never followed the last one lie between two places
+            y, rest = x[new], model.weight0[last[new]]
+            s[new] = row[new, 1] + rest * (model.below[y] - row[new, 3])
+            width[new] = rest * (model.below[y + 1] - model.below[y])
+            held = (g_end - g_low) * any_  # what the guess held is left out if it was wrong
+            s -= held * (s >= g_end)
+            cols = (np.where(hit, 0, share), np.where(hit, share, flag - share), np.where(hit, 0, s), np.where(hit, 1, width), np.where(hit, 1, whole - held.astype(np.int64)))
+            f_low, f_size, s_low, s_size, s_all = (z.view(np.uint64).reshape(d - c, lanes) for z in cols)
+            for t in range(d - c):
+                r = size >> U16
+                low += f_low[t] * r
+                r = f_size[t] * r // s_all[t]
+                low += s_low[t] * r
+                size = s_size[t] * r
+                renew()
+        if b < steps:
+            model.learn(past[2 : b + 2].ravel(), past[1 : b + 1].ravel(), past[:b].ravel(), np.concatenate(states), np.concatenate(hits))
+    if int(used.max()) + 2 > cap:
+        words = np.vstack([words, np.zeros((2, lanes), np.uint16)])
+    low = (low + np.uint64((1 << 32) - 1)) >> U32  # two words that lie in the range, whatever follows
+    for shift in (16, 0):
         words[used, np.arange(lanes)] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
         used += 1
     flat = words.T[np.arange(len(words))[None, :] < used[:, None]]
@@ -153,45 +218,55 @@ def decoded(payload: bytes, n: int, lanes: int, vocab: int) -> np.ndarray:
     data = np.concatenate([np.frombuffer(inflate.unused_data, "<u2"), np.zeros(4, np.uint16)]).astype(np.uint64)
     at = np.cumsum(used) - used
     steps = -(-n // lanes)
-    code = (data[at] << np.uint64(32)) | (data[at + 1] << np.uint64(16)) | data[at + 2]
-    at = at + 3
+    code = (data[at] << U48) | (data[at + 1] << U32) | (data[at + 2] << U16) | data[np.minimum(at + 3, len(data) - 1)]
+    at = at + 4
     model = Model(vocab)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    past = np.zeros((steps + 2, lanes), np.int64)
-
-    def find(bits: int) -> tuple[np.ndarray, np.ndarray]:
-        r = size >> np.uint64(bits)
-        return r, np.minimum((code - low) // r, np.uint64((1 << bits) - 1)).astype(np.int64)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    past = np.zeros((steps + 2, lanes), model.kind)
+    whole, flag = 1 << SUM_BITS, 1 << FLAG_BITS
 
-    def take(below: np.ndarray, share: np.ndarray, r: np.ndarray) -> None:
-        nonlocal low, size
-        low = low + below * r
-        size = share * r
+    def renew() -> None:
         need = np.flatnonzero(size < TOP)
         while len(need):
-            lo, rg = narrowed(low, size, need)
-            low[need], size[need] = (lo & LOW32) << np.uint64(16), rg << np.uint64(16)
-            code[need] = ((code[need] & LOW32) << np.uint64(16)) | data[np.minimum(at[need], len(data) - 1)]
+            lo, rg = narrowed(low[need], size[need])
+            low[need], size[need] = (lo & LOW) << U16, rg << U16
+            code[need] = ((code[need] & LOW) << U16) | data[np.minimum(at[need], len(data) - 1)]
             at[need] += 1
             need = need[size[need] < TOP]
 
-    whole = np.uint64(1 << model.bits)
     for a, b in chunks(steps):
-        kept = []
+        states, hits = [], []
         for t in range(a, b):
-            at1, at2, one, two, state = model.contexts(past[t + 1], past[t])
-            r, v = find(FLAG_BITS)
-            fb = model.flag_below[state]
-            flags = (v >= fb[:, 1].astype(np.int64)).astype(np.int64) + (v >= fb[:, 2].astype(np.int64))
-            take(model.flag_below[state, flags], model.flag[state, flags], r)
-            r, v = find(model.bits)
-            miss = flags == 2
-            x = np.where(miss, model.which[v], np.where(flags == 1, one, two)).astype(np.int64)
-            take(np.where(miss, model.below[x], np.uint64(0)), np.where(miss, model.share[x], whole), r)
+            last = past[t + 1]
+            any_, share, x, g_low, g_end, state = model.guessed(last, past[t])
+            r = size >> U16
+            edge = share.view(np.uint64) * r
+            hit = code - low < edge
+            states.append(state[any_])
+            hits.append(hit[any_])
+            m = np.flatnonzero(~hit)
+            if len(m):
+                c, g, held = last[m].astype(np.int64), g_low[m], ((g_end - g_low) * any_)[m].astype(np.int64)
+                total, from_ = (whole - held).view(np.uint64), low[m] + edge[m]
+                r = (flag - share[m]).view(np.uint64) * r[m] // total
+                v = np.minimum((code[m] - from_) // r, total - ONE).view(np.int64)
+                skip = held * (v >= g)
+                v += skip
+                row = model.entry.take(np.searchsorted(model.place, c << SUM_BITS | v, "right") - 1, axis=0)
+                y, s, width = row[:, 2], row[:, 0].astype(np.int64), (row[:, 1] - row[:, 0]).astype(np.int64)
+                new = np.flatnonzero(v >= row[:, 1])  # between two places
+                rest, end, next_ = model.weight0[c[new]], row[new, 1], row[new, 3]
+                z = model.which[(v[new] - end) // rest + next_]
+                y[new], s[new], width[new] = z, end + rest * (model.below[z] - next_), rest * (model.below[z + 1] - model.below[z])
+                low[m] = from_ + (s - skip).view(np.uint64) * r
+                edge[m] = width.view(np.uint64) * r
+                x[m] = y
+            size = edge
+            renew()
             past[t + 2] = x
-            kept.append((at1, at2, state, flags))
-        model.learn(past[a + 2 : b + 2].ravel(), *(np.concatenate(k) for k in zip(*kept, strict=True)))
-    return np.ascontiguousarray(past[2:].T).ravel()[:n]
+        if b < steps:
+            model.learn(past[2 : b + 2].ravel(), past[1 : b + 1].ravel(), past[:b].ravel(), np.concatenate(states), np.concatenate(hits))
+    return np.ascontiguousarray(past[2:].T).ravel()[:n].astype(np.int64)
 
 
 @dataclass(frozen=True)

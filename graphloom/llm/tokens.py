@@ -10,6 +10,7 @@ order of their texts' hashes; a text longer than a block makes a longer block; a
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,29 +28,53 @@ BLOCK_TOKENS = 1 << 21
 END_ID = 0
 
 
+
+class Known(dict):
+    """Numbers of words; a word that isn't known yet gets the next one, and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = out = len(self)
+        self.new.append(word)
+        return out
+
+
 class Words:
     """Ids of texts. A space between two characters that aren't white space always starts a new piece of the byte-level
-    pre-tokenizer, so that pieces between such spaces can be encoded alone, once each; other texts are encoded whole."""
+    pre-tokenizer, and a line's end between two such characters is a piece, so that what lies between can be encoded alone, once
+    each; texts where white space lies otherwise are encoded whole."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.vocab = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
-        self.splits = self.safe()
         begins = [i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]  # how this pre-tokenizer writes a space
         self.spaced = np.zeros(self.vocab, bool)
         self.spaced[begins] = True
+        self.splits = self.safe()
+        self.forget()
+
+    def forget(self) -> None:
+        """Words by number: their ids lie in one array, from starts on, sizes of them."""
+        self.known, self.ends, self.odd = Known(), {"": b""}, set()
+        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.flat, self.used = np.zeros(1 << 18, self.kind), 0
+
+    def of(self, number: int) -> bytes:
+        start = self.starts[number]
+        return self.flat[start : start + self.sizes[number]].tobytes()
 
     def safe(self) -> bool:
-        """Whether this tokenizer treats spaces in that way, tried on a sample."""
-        a, b = "one two,three\nfour", "five!"
-        whole = self.tokenizer.encode(f"{a} {b}", add_special_tokens=False).ids
-        return whole == self.tokenizer.encode(a, add_special_tokens=False).ids + self.tokenizer.encode(f" {b}", add_special_tokens=False).ids
+        """Whether this tokenizer treats white space in that way, tried on a sample."""
+        a, b, c = "one two,three", "five!", "six 7."
+        whole = self.tokenizer.encode(f"{a} {b}\n{c}", add_special_tokens=False).ids
+        return whole == [i for t in (a, f" {b}", "\n", c) for i in self.tokenizer.encode(t, add_special_tokens=False).ids]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,32 +89,76 @@ class Words:
         ends = [*(at[1:] * step).tolist(), len(raw)]
         return [raw[a:b] for a, b in zip((at * step).tolist(), ends, strict=True)]
 
+    def parts(self, word: str) -> tuple[str, str]:
+        """The word without punctuation at its end, which is a piece of its own after a letter, and that end."""
+        out = word.rstrip(",.!")
+        return (out, word[len(out) :]) if out and out[-1].isalpha() else (word, "")
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of new words, in the order of their numbers: each is made of stems, ends, and line's ends between them. Only stems that
+        aren't known are encoded, and words with other white space are marked."""
+        first = len(self.known) - len(words)
+        cut = [(w, "") if w.isalpha() else self.parts(w) if "\n" not in w else None for w in words]
+        lines = {w: [self.parts(x) for x in w.split("\n")] for w, c in zip(words, cut, strict=True) if c is None}
+        stems = {c[0] for c in cut if c} | {x[0][0] for x in lines.values()}
+        odd = {x for x in stems if x.split() != [x]}
+        get, ids = self.known.get, {}
+        for x in stems - odd:
+            n = get(x, first)
+            ids[x] = self.of(n) if n < first else None
+        new = [x for x, got in ids.items() if got is None]
+        for i in range(0, len(new), 2000):
+            ids.update(zip(new[i : i + 2000], self.encode_pieces(new[i : i + 2000]), strict=True))
+        # a line's first word has no space before it; those and ends come again and again
+        wanted = {c[1] for c in cut if c} | {x for parts in lines.values() for _, x in parts} | {"\n" + x for parts in lines.values() for x, _ in parts[1:]}
+        wanted = [x for x in wanted if x not in self.ends]
+        self.ends.update(zip(wanted, self.encode(wanted), strict=True))
+        ends, out = self.ends, []
+        for i, (word, c) in enumerate(zip(words, cut, strict=True), first):
+            if c:
+                made = b"" if c[0] in odd else ids[c[0]] + ends[c[1]]
+            else:
+                parts = lines[word]
+                bad = parts[0][0] in odd or any(x.split() != [x] for x, _ in parts[1:])
+                made = b"" if bad else ids[parts[0][0]] + ends[parts[0][1]] + b"".join([ends["\n" + x] + ends[y] for x, y in parts[1:]])
+            if not made:
+                self.odd.add(i)
+            out.append(made)
+        flat = np.frombuffer(b"".join(out), self.kind)
+        sizes = np.array([len(o) for o in out], np.int32) // flat.itemsize
+        while len(self.known) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.starts[first : len(self.known)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : len(self.known)] = sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as bytes of the kind."""
         if not self.splits:
             return self.encode(texts)
         if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
+            self.forget()
         pieces = [t.split(" ") for t in texts]
-        heads = [p[0] for p in pieces]
-        new = set().union(*(p[1:] for p in pieces)).difference(known)
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        new -= odd
-        stems = {w: w.rstrip(",.") for w in new}  # punctuation after a letter is a piece of its own for the pre-tokenizer
-        stems = {w: s if s != w and s and s[-1].isalpha() else w for w, s in stems.items()}
-        need = list({s for s in stems.values() if s not in known})
-        for i in range(0, len(need), 2000):
-            known.update(zip(need[i : i + 2000], self.encode_pieces(need[i : i + 2000]), strict=True))
-        for w, s in stems.items():
-            if s is not w:
-                end = w[len(s) :]
-                if end not in self.ends:
-                    self.ends[end] = self.encode([end])[0]
-                known[w] = known[s] + self.ends[end]
-        plain = [bool(h) and not h[-1].isspace() and (not odd or odd.isdisjoint(p[1:])) for h, p in zip(heads, pieces, strict=True)]
-        first = iter(self.encode([h if ok else t for h, t, ok in zip(heads, texts, plain, strict=True)]))
-        return [next(first) + b"".join(map(known.__getitem__, p[1:])) if ok else next(first) for p, ok in zip(pieces, plain, strict=True)]
+        known, count = self.known, [len(p) - 1 for p in pieces]
+        number = np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, p[1:]) for p in pieces), np.int64, sum(count))
+        if known.new:
+            new, known.new = known.new, []
+            self.learn(new)
+        # texts with other white space than single spaces and line's ends between other characters are encoded whole
+        plain = [p[0] != "" and not p[0][-1].isspace() for p in pieces]
+        if self.odd:
+            own = np.repeat(np.arange(len(pieces)), count)
+            for i in np.unique(own[np.isin(number, np.fromiter(self.odd, np.int64))]).tolist():
+                plain[i] = False
+        size, start = self.sizes.take(number), self.starts.take(number)
+        ends = np.cumsum(size)
+        ids = self.flat.take(np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)).tobytes()
+        edges = (np.r_[0, ends][np.r_[0, np.cumsum(count, dtype=np.int64)]] * self.flat.itemsize).tolist()
+        heads = self.encode([p[0] if ok else t for t, ok, p in zip(texts, plain, pieces, strict=True)])
+        return [h + ids[a:b] if ok else h for h, ok, a, b in zip(heads, plain, edges, edges[1:], strict=False)]
 
 
 @lru_cache(2)

@@ -234,12 +234,36 @@ def test_codec_round_trips():
             codec.unpack(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
 
 
+def test_codec_of_small_and_large_vocabularies():
+    rng = np.random.default_rng(3)
+    for vocab, n in ((1, 5), (2, 1), (2, 3000), (100, 40_000), (65_536, 20_000), (65_537, 20_000), (200_000, 30_000)):
+        ids = np.minimum(rng.zipf(1.3, n) - 1, vocab - 1).astype(np.int64)
+        ids[: n // 2] = ids[n - n // 2 :]
+        payload, lanes = codec.encoded(ids, vocab)
+        assert (codec.decoded(payload, n, lanes, vocab) == ids).all()
+
+
+def test_codec_mixes_contexts(spark):
+    """All ids of a table take 15 % less than an adaptive order-0 model would spend, and 7 bits at most."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    w = tokens.Words(tokenizer_path())
+    ids = np.frombuffer(b"".join(w(texts)), w.kind).astype(np.int64)
+    counts = np.bincount(ids)
+    # an adaptive model with a count of 1/2 for each id at first, whatever the order of the ids
+    from math import lgamma
+
+    order0 = (lgamma(len(ids) + w.vocab / 2) - lgamma(w.vocab / 2) - sum(lgamma(c + 0.5) - lgamma(0.5) for c in counts.tolist())) / np.log(2)
+    payload, lanes = codec.encoded(ids, w.vocab)
+    assert 8 * len(payload) < 0.85 * order0 and 8 * len(payload) < 7.0 * len(ids)
+    assert (codec.decoded(payload, len(ids), lanes, w.vocab) == ids).all()
+
+
 def test_words_agree_with_the_tokenizer():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
     w = tokens.Words(tokenizer_path(), most=50)
-    texts = ["", "  a b", " x", "x ", "a  b c", "a\n b", "a b\t", "é è x, y.", "<|endoftext|> a<|endoftext|> b", "don't you're  's", "日本 語,. テ", "a  b", "1 2 34 5.6,.", "w., w. w,"] + [f"t{i} u{i}." for i in range(99)]
+    texts = ["", "  a b", " x", "x ", "a  b c", "a\n b", "a b\t", "é è x, y.", "<|endoftext|> a<|endoftext|> b", "don't you're  's", "日本 語,. テ", "a  b", "1 2 34 5.6,.", "w., w. w,", "x y\n\nz q", "a b \n c", "\n", "a\n", "hello, world! it's John's\nNew line.\nAnother 12,5% x y z", "a b.\n.c d", "don't\n'tis", "end!!!\n!!x y", "É,! ö.,\nà", "ab\x1cc d", "a\rb c\r\nd"] + [f"t{i} u{i}." for i in range(99)]
     for t, b in zip(texts + texts, w(texts) + w(texts), strict=True):
         assert np.frombuffer(b, w.kind).tolist() == whole.encode(t, add_special_tokens=False).ids
 
