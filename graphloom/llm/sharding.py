@@ -4,8 +4,9 @@ A record's hash names one of SLOTS slots, for good. Bytes are summed by slot, an
 slot. Only the map is edited when shards are added or loads drift: records never hash anew. The law that holds is `bytes`:
 the map deals slots to shards, largest first, each to the least loaded shard, so that sizes come out near equal.
 
-Defined results: a null text has no bytes, and a record costs 8 more; a null id hashes as such with its text, so that such
-records spread; equal rows share a slot; an empty table gives a map with every slot empty; other columns are carried along.
+Defined results: a null text has no bytes, and a record costs 8 more; id and text are hashed together, so
+that records of one id, or of none, spread; rows that agree in both share a slot; an empty table gives a map with every slot empty;
+columns named shard, virtual_slot and map_version are replaced, all others are carried along.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def stored(spark: SparkSession, path: str, version: int | None = None) -> SlotMa
 
 
 def virtual_slot(id_col: Column, text: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(id_col.cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(text, F.lit("")))))), F.lit(slots)).cast("int")
+    return F.pmod(F.xxhash64(F.coalesce(id_col.cast("string"), F.lit("~")), F.coalesce(text, F.lit(""))), F.lit(slots)).cast("int")
 
 
 def record_size(text: Column) -> Column:
