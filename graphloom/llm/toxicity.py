@@ -8,7 +8,8 @@ Only labels of rows whose crc32(id as text) mod 3 is not 1 are learned from; lab
 The training sample is bounded (SAMPLE documents of each label, the first by hash, none above SAMPLE_CHARS characters).
 
 Defined results: null and empty texts have no sentence and score 0; equal texts score alike; whole texts are scored however long;
-rows with a null id score too and are never learned from; without any usable label every score is 0; an empty table gives no rows.
+rows with a null id score too and are never learned from; of several labels of one id the highest counts, of several texts the
+first in order; other columns are ignored by the query; without any usable label every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -145,13 +146,14 @@ def trained(bags: list[list[list[str]]], labels: list[int], rounds: int = 200, d
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model:
     """Trained from a bounded sample of labelled rows that aren't held out."""
-    own = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter(~held_out(F.col("__id")) & F.col("__y").isin(0, 1)).dropDuplicates(["__id"])
+    own = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter(~held_out(F.col("__id")) & F.col("__y").isin(0, 1)).groupBy("__id").agg(F.max("__y").alias("__y"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).filter(~held_out(F.col("__id")) & (F.length("__t") <= SAMPLE_CHARS))
     got = []
     for y in (0, 1):
         # the sample is chosen among ids first, so that only its texts are joined
         some = sampled(own.filter(F.col("__y") == y), [F.col("__id")], sample)
-        got += rows.join(F.broadcast(some), "__id").select("__id", "__t", "__y").collect()  # a bounded number of rows
+        one = rows.join(F.broadcast(some), "__id").groupBy("__id", "__y").agg(F.min("__t").alias("__t"))  # a row for each id, however often it occurs
+        got += one.select("__id", "__t", "__y").collect()
     got.sort(key=lambda r: (r["__y"], r["__id"]))
     bags = [[TOKEN.findall(r["__t"][a:b].lower()) for a, b in sentences(r["__t"])] for r in got]
     return trained(bags, [r["__y"] for r in got])
