@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A side is broadcast only if its counted rows times its width stay below this.
 BROADCAST_BYTES = 24 << 20
@@ -107,5 +108,9 @@ def texts_in(batches: Iterator, columns: list[str], rows: int = 256) -> Iterator
             yield tuple(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns)
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -12,7 +12,8 @@ Items are taken in blocks of bounded size, each broadcast; documents are never s
 
 Defined results: null and empty texts match nothing, and an item of fewer than LEAST_WORDS words only matches its words
 as they are, without an edit; equal documents give equal hits; items of equal text are all reported; the best passage for an item and document is reported once for
-each place where it occurs; empty tables give no rows; other columns are ignored.
+each place where it occurs; empty tables give no rows;
+rows without an id are searched and items without one reported as such; ids are of any type; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import arrow_type, slices
 from graphloom.llm.words import hashed
 
 LEAST_WORDS = 8
@@ -32,7 +34,8 @@ SHORT, LONG, LONG_FROM = 16, 40, 30
 HASHES, SAMPLES = 9, 7
 #: A passage is a copy if its edits are at most this share of the item's words.
 EDITS = 0.2
-ITEMS_AT_ONCE = 20_000
+#: Items of a block, and characters of their texts, that are sent to the executors at once.
+ITEMS_AT_ONCE, ITEM_CHARS = 20_000, 4 << 20
 HASHED_AT_ONCE = 20_000
 _RNG = np.random.default_rng(21)
 #: For each hash the steps it reads, and odd factors to mix what it reads.
@@ -190,14 +193,16 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, at_once: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most at_once, in the order of their ids."""
+    """The items in blocks of at most at_once, and of ITEM_CHARS characters or one item more, in the order of their ids."""
     rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
     block: list[tuple[int, str]] = []
+    size = 0
     for r in rows.orderBy("i", "t").toLocalIterator():
         block.append((r["i"], r["t"]))
-        if len(block) == at_once:
+        size += len(r["t"])
+        if len(block) == at_once or size >= ITEM_CHARS:
             yield block
-            block = []
+            block, size = [], 0
     if block:
         yield block
 
@@ -206,7 +211,8 @@ def found(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """A row for each copy of an item in a document: id, item, start and end as code points, edits, item_words."""
     spark, out = docs.sparkSession, None
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, `{item_col}` long, start long, end long, edits int, item_words int"
+    item_kind, item_type = benchmark.schema[item_col].dataType.simpleString(), arrow_type(benchmark, item_col)
+    schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, start long, end long, edits int, item_words int"
     names = [id_col, item_col, "start", "end", "edits", "item_words"]
     for block in item_blocks(benchmark, item_col, item_text, at_once):
         sent = spark.sparkContext.broadcast(Items(block, share))
@@ -215,14 +221,16 @@ def found(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
             items = sent.value
             for batch in batches:
                 rows, got = [], []
-                for at in range(0, batch.num_rows, 128):
-                    texts = hashed(batch.column(1).slice(at, 128))
+                at = 0
+                for part in slices(batch, 1, 128):
+                    texts = hashed(part.column(1))
                     for i, hits in enumerate(items.hits([texts.of(i) for i in range(len(texts.first) - 1)], share)):
                         for item, a, b, n in hits:
                             rows.append(at + i)
                             got.append((items.ids[item], *texts.span(i, a, b), n, len(items.words[item])))
+                    at += part.num_rows
                 cols = list(zip(*got, strict=True)) if got else [[]] * 5
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                types = (item_type, pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names)
 
         part = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
@@ -240,8 +248,8 @@ def without_copies(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
             items = sent.value
             for batch in batches:
                 keep: list[bool] = []
-                for start in range(0, batch.num_rows, 128):
-                    texts = hashed(batch.column(at).slice(start, 128))
+                for part in slices(batch, at, 128):
+                    texts = hashed(part.column(at))
                     keep += [not h for h in items.hits([texts.of(i) for i in range(len(texts.first) - 1)], share)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import sampled, texts_in
+from graphloom.llm.common import arrow_type, sampled, texts_in
 
 # The three base rules, by kind.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -119,11 +119,18 @@ def fitted(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE_DOC
 
 
 def model_spans(text: str, model: MarkovPair, taken: list[tuple[int, int, int]], least: float = 12.0, each: float = 0.5) -> list[tuple[int, int, int]]:
-    out = []
+    out, held, at = [], [], 0
+    for x, _, y in taken:  # base spans in order, joined where they overlap
+        if held and x <= held[-1][1]:
+            held[-1][1] = max(held[-1][1], y)
+        else:
+            held.append([x, y])
     for m in RUN.finditer(text):
         a, b, s = m.start(), m.end(), m[0]
         mixed = any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)
-        if mixed < 2 or any(x < b and a < y for x, _, y in taken):
+        while at < len(held) and held[at][1] <= a:
+            at += 1
+        if mixed < 2 or (at < len(held) and held[at][0] < b):
             continue
         llr = model.score(s)
         if llr >= least and llr >= each * len(s):
@@ -134,7 +141,7 @@ def model_spans(text: str, model: MarkovPair, taken: list[tuple[int, int, int]],
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: MarkovPair | None = None) -> DataFrame:
     """A row for each document: its id, base and all spans as arrays of (kind, start, end), and their digests. Nothing is shuffled."""
     model = model or fitted(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), arrow_type(docs, id_col)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +151,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod
             named = [[{"kind": KINDS[k], "start": a, "end": e} for a, k, e in m] for m in more]
             n = [[sum(k == i for _, k, _ in m) for m in more] for i in range(4)]
             cols = [pa.array(ids), *(pa.array(x, pa.int64()) for x in n), pa.array([hashlib.sha256(digest(b).encode()).hexdigest() for b in base], pa.string()), pa.array([digest(m) for m in more], pa.string()), pa.array(named, span)]
-            yield pa.RecordBatch.from_arrays([cols[0].cast(id_type(kind)), *cols[1:]], [id_col, "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "found"])
+            yield pa.RecordBatch.from_arrays([cols[0].cast(id_type), *cols[1:]], [id_col, "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "found"])
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>")
-
-
-def id_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

@@ -204,6 +204,12 @@ def test_links_of_blocks_join_what_all_pairs_join(spark, monkeypatch):
     assert set(links) <= set(pairs) | {(b, a) for a, b in pairs} and joined(links) == joined(pairs) and len(set(joined(pairs))) < 45
 
 
+def test_one_row_of_a_repeated_id_stays(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (3, "other words are here now", "z"), (3, "and two texts of one id", "z"), (None, "a b c d e f g", None), (4, None, None), (4, None, None)]
+    got = collected(neardup.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert sorted((str(r["doc_id"]), r["source"]) for r in got) == [("1", "x"), ("3", "z"), ("4", None), ("None", None)]
+
+
 def test_near_duplicate_edges(spark, odd):
     rows = collected(neardup.classes(odd))
     assert len(rows) == 8
@@ -345,6 +351,18 @@ def test_nearest_edges(spark):
 # decontamination
 
 
+def test_nearest_of_collinear_and_of_huge_vectors(spark):
+    """Ties go to the smaller ids, and squares that overflow or vanish don't matter."""
+    rows = [(i, [2.0 ** (20 * i - 600), 0.0, 2.0 ** (20 * i - 599)]) for i in [*range(1, 50), *range(51, 62)]] + [(50 * 40, [1.0, 0.0, 2.0]), (3, None)]
+    df = spark.createDataFrame(rows + [(100, [1e200, 1e200, 0.0])], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in collected(neighbours.nearest(df, 50)):
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    exact = sorted((-float(neighbours.cosines(np.array([[1.0, 0.0, 2.0]]), np.array([v]))[0]), i) for i, v in rows if v and i != 2000)[:5]
+    assert [(v, s) for _, v, s in sorted(got[2000])] == [(i, -s) for s, i in exact] and [i for _, i in exact] == [1, 2, 3, 4, 5]
+    assert len(got[100]) == 5 and all(np.isfinite(s) for _, _, s in got[100])
+
+
 def test_edits_are_exact():
     rng = random.Random(5)
 
@@ -423,6 +441,14 @@ def test_decontamination_finds_every_copy_of_short_items(n):
     assert recall_of_copies(n, 0) == recall_of_copies(n, int(0.2 * n) if n >= 8 else 0) == 1
 
 
+def test_decontamination_of_string_ids(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    docs = spark.createDataFrame([("a", f"head {item} tail"), (None, item), ("c", "clean")], "doc_id string, text string")
+    bench = spark.createDataFrame([("x1", item, 1), (None, item, 2), ("x3", None, 3)], "item_id string, text string, edits int")
+    got = sorted((str(r["doc_id"]), str(r["item_id"]), r["start"], r["edits"]) for r in collected(decontaminate.found(docs, bench)))
+    assert got == [("None", "None", 0, 0), ("None", "x1", 0, 0), ("a", "None", 5, 0), ("a", "x1", 5, 0)]
+
+
 def test_short_items_match_only_as_they_are():
     index = decontaminate.Items([(1, "red green blue"), (2, "one two three four five six seven"), (3, "")])
     texts = ["a red green blue b", "a red green x blue b", "one two three four five six seven", "one two three four x six seven", ""]
@@ -582,6 +608,15 @@ def test_shards(docs, odd, spark):
     assert out.count() == 8 and {"text", "shard", "virtual_slot"} <= set(out.columns)
 
 
+def test_shards_of_one_id(spark):
+    rows = [(7, f"text number {i}" * 9) for i in range(2000)] + [(i + 10, f"other {i}" * 9) for i in range(2000)] + [(None, f"none {i}" * 9) for i in range(500)]
+    got = collected(sharding.shard_table(spark.createDataFrame(rows, "doc_id long, text string"), 8))
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) <= 1.01 * sum(load.values()) / 8 + max(r["size"] for r in got)
+
+
 def test_slot_map_versions(spark, tmp_path):
     rng = random.Random(4)
     sizes = {v: rng.randrange(1, 1000) for v in range(sharding.SLOTS)}
