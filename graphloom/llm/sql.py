@@ -1,7 +1,5 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from graphloom.llm.lines import FUZZY_FROM
-
 #: The mix, with the same keys: sources filled up in the order of the level at which they are full, documents in the order of
 #: their keys up to the budget, and the later document that comes nearest to what is left.
 MIX = r"""
@@ -26,17 +24,20 @@ y AS (SELECT *, epochs + CAST(inside OR (place = 1 AND NOT inside AND size > 0 A
 SELECT doc_id, size, source_size, target, copies, size * copies AS taken FROM y
 """
 
-#: Line dedup: a line goes if the same or, from FUZZY_FROM characters on, one within an edit came before it. Of two lines within
-#: an edit one half is equal, so that only those are compared.
-LINES = rf"""
+#: Line dedup: a line goes if the same or one within an edit came before it. Of two lines within an edit one half is equal, so
+#: that only those are compared; levenshtein() counts bytes, hence only sieves.
+LINES = r"""
 WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents),
 p AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS raw FROM a),
 l AS (SELECT doc_id, pos, raw, trim(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS line FROM p),
 d AS (SELECT line, min(doc_id * 1000000000::HUGEINT + pos) AS first FROM l WHERE line <> '' GROUP BY line),
-u AS (SELECT line, first, length(line) AS n FROM d WHERE length(line) >= {FUZZY_FROM}),
+u AS (SELECT line, first, length(line) AS n FROM d WHERE line <> ''),
 h AS (SELECT line, first, n, m, part, CASE WHEN part = 0 THEN substring(line, 1, m // 2) ELSE substring(line, n - (m - m // 2) + 1) END AS half
   FROM u, (SELECT unnest([0, 1]) AS part), (SELECT unnest([0, 1]) AS less), LATERAL (SELECT n - less AS m)),
-near AS (SELECT DISTINCT x.line FROM h x JOIN h y ON x.m = y.m AND x.part = y.part AND x.half = y.half AND y.first < x.first AND abs(x.n - y.n) <= 1 AND levenshtein(x.line, y.line) <= 1),
+pair AS (SELECT DISTINCT x.line, CASE WHEN x.n <= y.n THEN x.line ELSE y.line END AS s, CASE WHEN x.n <= y.n THEN y.line ELSE x.line END AS t, x.n = y.n AS same
+  FROM h x JOIN h y ON x.m = y.m AND x.part = y.part AND x.half = y.half AND y.first < x.first AND abs(x.n - y.n) <= 1),
+apart AS (SELECT *, coalesce(list_position(list_transform(range(1, length(s) + 1), lambda i: s[i] <> t[i]), true), length(s) + 1) AS f FROM pair WHERE abs(strlen(s) - strlen(t)) <= 4 AND levenshtein(s, t) <= 4),
+near AS (SELECT DISTINCT line FROM apart WHERE CASE WHEN same THEN substring(s, f + 1) = substring(t, f + 1) ELSE substring(s, f) = substring(t, f + 1) END),
 g AS (SELECT l.doc_id, l.pos, l.raw, l.line, l.line <> '' AND (near.line IS NOT NULL OR l.doc_id * 1000000000::HUGEINT + l.pos > d.first) AS gone FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN near ON l.line = near.line)
 SELECT a.doc_id, CASE WHEN a.text IS NOT NULL THEN coalesce(string_agg(CASE WHEN NOT coalesce(gone, false) THEN raw END, chr(10) ORDER BY pos), '') END AS text,
   CAST(count(CASE WHEN line <> '' THEN 1 END) AS INTEGER) AS n_lines, CAST(count(CASE WHEN gone THEN 1 END) AS INTEGER) AS n_removed

@@ -664,7 +664,7 @@ def test_line_dedup(spark, docs):
         keep, n = [], 0
         for x in t.split("\n"):
             q = x.strip("\t\n\x0b\x0c\r ")
-            if q and any(q == y or (len(q) >= 20 and len(y) >= 20 and within_one(q, y)) for y in before):
+            if q and any(q == y or within_one(q, y) for y in before):
                 n += 1
             else:
                 keep.append(x)
@@ -678,6 +678,22 @@ def test_line_dedup_edges(spark, odd):
     s = "abcdefghijklmnopqrstuvwxyz"
     rows = [(0, f"{s}\n\nshort\n{s}"), (1, f"{s[:5] + s[6:]}\nsh0rt\n {s[:9]}!{s[9:]}"), (2, f"Z{s[1:]}\n{s[:25]}\nshort"), (3, None), (4, ""), (None, "ab" + s), (5, s[:3] + s[4:] + "Q")]
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in collected(lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")))}
-    assert got == {0: (f"{s}\n\nshort", 3, 1), 1: ("sh0rt", 3, 2), 2: ("", 3, 3), 3: (None, 0, 0), 4: ("", 0, 0), None: ("ab" + s, 1, 0), 5: (s[:3] + s[4:] + "Q", 1, 0)}
+    assert got == {0: (f"{s}\n\nshort", 3, 1), 1: ("", 3, 3), 2: ("", 3, 3), 3: (None, 0, 0), 4: ("", 0, 0), None: ("ab" + s, 1, 0), 5: (s[:3] + s[4:] + "Q", 1, 0)}
     rows = collected(lines.deduplicated(odd))
     assert len(rows) == 8 and {r["doc_id"]: r["text"] for r in rows}[5] == "" and lines.deduplicated(odd.limit(0)).count() == 0
+
+
+def test_line_dedup_of_short_and_very_long_lines(spark):
+    long = "".join(random.Random(5).choices("abcdefgh ij", k=200_000)) + "x"
+    edge = "e" * 4095
+    rows = [(0, "a\nbb"), (1, "ab\nxyz"), (2, "b\nwxyz\nqq"), (3, long), (4, long[:77_777] + long[77_778:]), (5, "new" + long), (6, edge), (7, edge + "e"), (8, edge + "eee")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in collected(lines.deduplicated(df))}
+    assert [got[k] for k in (0, 1, 2)] == ["a\nbb", "xyz", "qq"] and got[3] == long and got[4] == "" and got[5] == "new" + long and [got[k] for k in (6, 7)] == [edge, ""]
+    assert got[8] == edge + "eee" and {r["doc_id"]: r["n_removed"] for r in collected(lines.deduplicated(df, fuzzy_from=10))}[2] == 0
+
+
+def test_line_dedup_of_one_line_in_most_documents(spark):
+    rows = [(i, f"All rights reserved.\nown line of {i} {hashlib.md5(str(i).encode()).hexdigest()}") for i in range(1000)]
+    got = collected(lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)))
+    assert all(r["n_removed"] == int(r["doc_id"] > 0) for r in got)
