@@ -13,17 +13,17 @@ Made = tuple[Column, str, str | None]
 
 def total(v: Val, distinct: bool, mean: bool) -> Made:
     """SUM and AVG: an error in the group makes the result an error; nothing gives 0."""
-    f = (F.sum_distinct if distinct else F.sum) if not mean else (lambda c: F.avg(c) if not distinct else F.sum_distinct(c) / F.count_distinct(c))
+    f = (F.sum_distinct if distinct else F.try_sum) if not mean else (lambda c: F.try_avg(c) if not distinct else F.sum_distinct(c) / F.count_distinct(c))
     n, good = F.count(F.lit(1)), F.count(v.col)
     if v.kind in RANK:
         kind = "dec" if mean and v.kind == "int" else v.kind
-        col = v.col if v.kind != "dec" or not mean else v.col.cast("decimal(28,9)")
-        out = F.when(n == 0, F.lit(0)).when(n == good, f(col.cast("double") if kind == "dec" and v.kind == "int" else col))
+        col = v.col
+        out = F.when(n == 0, F.lit(0)).when(n == good, f(col.cast("decimal(38,18)") if kind == "dec" else col))
         return out.cast(NATIVE[kind][1]), kind, None
     if v.kind != "term":
         return F.when(n == 0, F.lit(0).cast("bigint")), "int", None
     rank, ok = F.max(rank_of(v)), F.count(rank_of(v)) == n
-    e, a = f(exact(v).cast("decimal(28,9)")), f(number(v))
+    e, a = f(exact(v)), f(number(v))
     if distinct:  # over distinct terms
         terms = F.collect_set(v.col)
         e = F.aggregate(terms, F.lit(0).cast("decimal(38,18)"), lambda acc, t: (acc + exact(Val("term", t))).cast("decimal(38,18)"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,12 +48,34 @@ def d(c: Column) -> Val:
 # operators
 
 
+def product(x: Column, y: Column) -> Column:
+    """Of decimals with 18 digits after the point. Whole and broken parts are multiplied apart, as the type of a plain product keeps six
+    of them; with more than 19 digits before the point, the plain product follows."""
+    whole = [F.floor(c).try_cast("decimal(19,0)") for c in (x, y)]
+    rest = [(c - F.floor(c)).cast("decimal(18,18)") for c in (x, y)]
+    parts = [whole[0] * whole[1], whole[0] * rest[1], whole[1] * rest[0], rest[0] * rest[1]]
+    out = parts[0].try_cast("decimal(38,18)")
+    for part in parts[1:]:
+        out = F.try_add(out, part.try_cast("decimal(38,18)")).try_cast("decimal(38,18)")
+    return F.coalesce(out, F.try_multiply(x.try_cast("decimal(28,9)"), y.try_cast("decimal(28,9)")).try_cast("decimal(38,18)"))
+
+
+def quotient(x: Column, y: Column, whole: bool) -> Column:
+    """Of integers or decimals, 18 digits after the point where both fit ten digits before and after it, or are integers."""
+    if whole:
+        return F.try_divide(x.cast("decimal(20,0)"), y.cast("decimal(20,0)")).try_cast("decimal(38,18)")
+    fine = [c.try_cast("decimal(20,10)") for c in (x, y)]
+    fits = (fine[0] == x) & (fine[1] == y)
+    wide = F.try_divide(x.try_cast("decimal(28,9)"), y.try_cast("decimal(28,9)")).try_cast("decimal(38,18)")
+    return F.when(fits, F.try_divide(*fine).try_cast("decimal(38,18)")).otherwise(wide)
+
+
 def arithmetic(op: str, x: Val, y: Val) -> Val:
     """Numbers by promotion, and dateTimes with durations. Errors and division by zero are NULL."""
     if x.kind in RANK and y.kind in RANK:
         top = max(RANK[x.kind], RANK[y.kind])
         if top <= 1 and op == "/":
-            return Val("dec", F.try_divide(x.col.cast("double"), y.col.cast("double")).cast("decimal(38,18)") if x.kind == y.kind == "int" else F.try_divide(x.col.cast("decimal(28,9)"), y.col.cast("decimal(28,9)")).cast("decimal(38,18)"))
+            return Val("dec", quotient(x.col, y.col, x.kind == y.kind == "int"))
         f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": lambda u, v: u / F.nullif(v, F.lit(0.0))}[op]
         kind = ("int", "dec", "flt", "dbl")[top]
         if top >= 2:
@@ -63,7 +86,8 @@ def arithmetic(op: str, x: Val, y: Val) -> Val:
             u, v = x.col.cast(NATIVE[kind][1]), y.col.cast(NATIVE[kind][1])
             return Val(kind, u + v if op == "+" else u - v if op == "-" else u * v)
         if top == 1:
-            return Val("dec", f(x.col.cast("decimal(28,9)"), y.col.cast("decimal(28,9)")).cast("decimal(38,18)"))
+            u, v = x.col.cast("decimal(38,18)"), y.col.cast("decimal(38,18)")
+            return Val("dec", product(u, v) if op == "*" else f(u, v).try_cast("decimal(38,18)"))
         return Val("int", f(x.col, y.col))
     if x.kind in ("dt", "date") and y.kind == "dur":
         return Val("dt", x.col + y.col if op == "+" else x.col - y.col)
@@ -311,8 +335,6 @@ named(FN + "string-join", AFN + "strjoin")(lambda sep, *xs: s(F.concat_ws("", *[
 @named(FN + "normalize-unicode")
 def normalize_unicode(x: Val, form: Val | None = None) -> Val:
     """No builtin does this; an Arrow UDF normalises whole batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(text: pd.Series, how: pd.Series) -> pd.Series:
         import unicodedata

@@ -15,7 +15,6 @@ from graphloom.staging import kept
 if TYPE_CHECKING:
     from graphloom.plans.compiler import Compiler
 
-LABELS = [A.RDFS + "label", "http://www.w3.org/2004/02/skos/core#prefLabel", "http://purl.org/dc/elements/1.1/title", "http://xmlns.com/foaf/0.1/name"]
 WAYS = ("cbd", "symmetric", "subject", "object", "simple", "labelled", "minimal-spanning")
 
 
@@ -40,7 +39,7 @@ def resources(c: Compiler, q: A.Query) -> DataFrame:
 
 def describe(c: Compiler, q: A.Query, way: str = "cbd") -> DataFrame:
     """cbd: outgoing triples, and those of blank nodes reached; symmetric: also incoming ones; subject, object: only outgoing or
-    incoming; simple: both; labelled: cbd and the labels of what it names; minimal-spanning: both ways through blank nodes."""
+    incoming; simple: both; labelled: outgoing ones and the rdfs:label of the blank nodes they name; minimal-spanning: both ways through blank nodes."""
     if way not in WAYS:
         raise ValueError(f"no way {way} to describe")
     all_ = triples_of(c)
@@ -56,7 +55,7 @@ def describe(c: Compiler, q: A.Query, way: str = "cbd") -> DataFrame:
     if way in ("simple", "symmetric", "minimal-spanning"):
         out = out.unionAll(coming(front))
     seen = front
-    while way in ("cbd", "symmetric", "labelled", "minimal-spanning"):
+    while way in ("cbd", "symmetric", "minimal-spanning"):
         ends = out.select(F.col("o").alias("n"))
         if way == "minimal-spanning":
             ends = ends.unionAll(out.select(F.col("s").alias("n")))
@@ -66,8 +65,8 @@ def describe(c: Compiler, q: A.Query, way: str = "cbd") -> DataFrame:
         seen = kept(seen.unionAll(front), "described")
         out = kept(out.unionAll(leaving(front) if way != "minimal-spanning" else leaving(front).unionAll(coming(front))).distinct(), "description")
     if way == "labelled":
-        names = out.select(F.col("o").alias("n")).filter(F.col("n.kind") == IRI).unionAll(out.select(F.col("p").alias("n"))).distinct()
-        labels = all_.filter(F.col("p.lex").isin(LABELS))
+        names = out.select(F.col("o").alias("n")).filter(F.col("n.kind") == BLANK).distinct()
+        labels = all_.filter(F.col("p.lex") == A.RDFS + "label")
         out = out.unionAll(labels.join(names, labels["s"] == names["n"], "left_semi"))
     return out.distinct()
 

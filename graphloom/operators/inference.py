@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import replace
 
@@ -74,10 +75,10 @@ def parse_rules(text: str, prefixes: dict[str, str] | None = None) -> list[tuple
         p.take(".")
 
 
-def rules(data: QuadSource, text: str, prefixes: dict[str, str] | None = None, most: int = 100) -> QuadSource:
-    """data with all that the rules entail: rounds until one adds nothing."""
+def rules(data: QuadSource, text: str, prefixes: dict[str, str] | None = None, most: int | None = None) -> QuadSource:
+    """data with all that the rules entail: rounds until one adds nothing; more than `most`, if given, are an error."""
     parsed, source = parse_rules(text, prefixes), data
-    for _ in range(most):
+    for n in itertools.count(1):
         compiler = Compiler(source.quads.sparkSession, source)
         new = None
         for body, head in parsed:
@@ -91,5 +92,7 @@ def rules(data: QuadSource, text: str, prefixes: dict[str, str] | None = None, m
         new = kept(new.join(old.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select("s", "p", "o", "g"), "entailed")
         if new.isEmpty():
             return source
+        if n == most:
+            raise RuntimeError(f"the rules still add triples after {most} rounds")
         source = replace(source, quads=kept(source.quads.unionAll(new), "inferred"))
     return source

@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom import feature_queries
 from graphloom.engine import Engine
 from graphloom.operators import canon, fulltext, inference, shacl
 from graphloom.plans.algebra import AFN, EXT, FN, RDF, RDFS, XSD
@@ -124,6 +125,7 @@ def _query(tables: str, sparql: str) -> Callable[[SparkSession, str], DataFrame]
     return lambda spark, folder: Engine(spark, tables_in(spark, folder, tables.split()), PREFIXES).select(sparql)
 
 
+PAIRS |= feature_queries.PAIRS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(t, q) for n, (t, q, _) in PAIRS.items()}
 SQL: dict[str, str] = {n: sql for n, (_, _, sql) in PAIRS.items()}
 
@@ -299,3 +301,5 @@ SQL |= {
     "handlers_by_predicate": "SELECT * FROM (SELECT 'urn:col:nation#n_nationkey' AS p, count(*) AS n FROM nation UNION ALL SELECT 'urn:col:nation#n_name', count(*) FROM nation UNION ALL SELECT 'urn:col:nation#n_regionkey', count(*) FROM nation UNION ALL SELECT 'urn:col:region#r_regionkey', count(*) FROM region UNION ALL SELECT 'urn:col:region#r_name', count(*) FROM region)",
     "graph_difference": "SELECT count(*) AS removed, 0::BIGINT AS added FROM region",
 }
+QUERIES |= feature_queries.QUERIES
+SQL |= feature_queries.SQL

@@ -54,8 +54,9 @@ def read_files(spark: SparkSession, path: str, how: str | None = None, base: str
     return QuadSource(from_texts(files.mapInArrow(parse, "s string, p string, o string, g string")))
 
 
-def by_line(lines: DataFrame) -> DataFrame:
-    """Columns s, p, o, g from lines (value, file) of N-Triples or N-Quads; also for a stream of such lines."""
+def by_line(lines: DataFrame, on_error: str = "raise") -> DataFrame:
+    """Columns s, p, o, g from lines (value, file) of N-Triples or N-Quads; also for a stream of such lines. Blank lines and comments
+    are left out; another line that is no quad is an error that names file and line, or is left out (on_error: raise or skip)."""
     node = r'(<<.*>>|<[^>]*>|_:\S+)'
     obj = r'(<<.*>>|<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
     pattern = rf"^\s*{node}\s+(<[^>]*>)\s+{obj}\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$"
@@ -65,7 +66,13 @@ def by_line(lines: DataFrame) -> DataFrame:
         x = F.regexp_extract("value", pattern, i)
         return F.when(x.startswith("_:"), F.concat(own, F.substring(x, F.lit(3), F.length(x)))).otherwise(x)
 
-    return lines.filter(F.col("value").rlike(pattern)).select(*(part(i).alias(n) for i, n in enumerate("spog", 1)))
+    wrong = ~F.col("value").rlike(pattern)
+    if on_error == "skip":
+        lines = lines.filter(~wrong)
+    else:
+        lines = lines.filter(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+        lines = lines.withColumn("value", F.when(wrong, F.raise_error(F.concat(F.lit("no quad in "), F.col("file"), F.lit(": "), F.col("value")))).otherwise(F.col("value")))
+    return lines.select(*(part(i).alias(n) for i, n in enumerate("spog", 1)))
 
 
 # writing

@@ -8,7 +8,7 @@ from graphloom.engine import Engine
 from graphloom.operators import canon, fulltext, inference, shacl
 from graphloom.plans.builder import ask, select
 from graphloom.plans.parser import SyntaxProblem, parse_query
-from graphloom.sources.files import lines_of, read_files, read_text, write_lines, write_result, write_text
+from graphloom.sources.files import by_line, lines_of, read_files, read_text, write_lines, write_result, write_text
 from graphloom.store import Store, UpdateProblem
 from graphloom.streaming.views import Handlers, View, stream_into
 
@@ -246,3 +246,18 @@ def test_syntax_problems():
     for bad in ("SELECT { ?x ?y }", "SELECT ?x { ?x :p 1 }", "SELECT ?x { ?x <p> 1 BIND(1 AS ?x) }", "FOO"):
         with pytest.raises(SyntaxProblem):
             parse_query(bad)
+
+
+def test_lines_that_are_no_quads_are_errors(spark):
+    lines = spark.createDataFrame([("<urn:a> <urn:p> \"x\" .", "f"), ("# a comment", "f"), ("", "f"), ("<urn:a> <urn:p> .", "f")], "value string, file string")
+    assert by_line(lines, on_error="skip").count() == 1
+    with pytest.raises(Exception, match="no quad in f: <urn:a> <urn:p> ."):
+        by_line(lines).collect()
+
+
+def test_rules_that_go_on_are_an_error_only_if_asked(spark):
+    data = read_text(spark, " ".join(f"<urn:c:{i}> <urn:p> <urn:c:{i + 1}> ." for i in range(6)))
+    text = "{ ?a <urn:p> ?b . ?b <urn:p> ?c } => { ?a <urn:p> ?c }"
+    assert inference.rules(data, text).quads.count() == 21
+    with pytest.raises(RuntimeError):
+        inference.rules(data, text, most=1)
