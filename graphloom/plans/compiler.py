@@ -17,6 +17,7 @@ from graphloom.operators.paths import closure
 from graphloom.plans import algebra as A
 from graphloom.plans import solutions as S
 from graphloom.plans.solutions import Info, Solutions, column, ref
+from graphloom.staging import kept
 
 Env = Callable[[str], Val | None]
 
@@ -126,7 +127,8 @@ class Compiler:
         if p.condition is not None:
             if contains_exists(p.condition):
                 # the condition needs whole solutions: join, filter, then add what found nothing
-                left = Solutions(left.df.withColumn("?_:row", F.monotonically_increasing_id()), {**left.vars, "_:row": Info("int")})
+                # the numbered rows are used twice, so they are written once
+                left = Solutions(kept(left.df.withColumn("?_:row", F.monotonically_increasing_id()), "left"), {**left.vars, "_:row": Info("int")})
                 inner = self.filtered(S.join(left, right), p.condition, c)
                 out = S.union(inner, S.semi_join(left, inner.keep(["_:row"]), False))
                 return out.keep([n for n in out.vars if n != "_:row"])

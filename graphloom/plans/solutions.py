@@ -108,29 +108,68 @@ def all_of(conditions: list[Column]) -> Column | None:
 
 
 def join(left: Solutions, right: Solutions) -> Solutions:
-    """Compatible pairs. Variables bound on both sides make an equi-join. Where all shared variables may be unbound, the rows
-    that bind the first of them on both sides are joined by it, and only the others pair freely."""
+    """Compatible pairs. Variables bound on both sides make an equi-join; where all shared ones may be unbound, rows are told apart by
+    what they bind, and only those that have no bound variable in common pair freely."""
     if not left.vars:
         return Solutions(left.df.crossJoin(right.df), right.vars) if left.df.columns else right
     if not right.vars and not right.df.columns:
         return left
     l, r, shared = aligned(left, right)
-    sure = [n for n in shared if not left.vars[n].maybe and not right.vars[n].maybe]
-    conditions = [agree(n, left.vars[n], right.vars[n]) for n in shared]
-    if sure or not shared:
-        return merged(both(l, r, all_of(conditions), "inner"), left, right, shared)
-    first, *rest = list(shared)
-    others = [agree(n, left.vars[n], right.vars[n]) for n in rest]
+    return merged(pairs(l, r, cases(list(shared), left, right), []), left, right, shared)
+
+
+@dataclass(frozen=True)
+class Case:
+    """Pairs of rows told apart by which of them bind a variable: a test of the left row, one of the right row, and of both."""
+
+    left: list[Column]
+    right: list[Column]
+    both: list[Column]
+
+
+def cases(names: list[str], left: Solutions, right: Solutions) -> list[Case]:
+    """Disjoint cases that together are all compatible pairs. Each but the one in which neither side binds what the other does
+    holds an equality, so that it is an equi-join."""
+    if not names or any(not left.vars[n].maybe and not right.vars[n].maybe for n in names):
+        return [Case([], [], [agree(n, left.vars[n], right.vars[n]) for n in names])]
+    first, *rest = names
     a, b = ref(first), ref(first, "r")
-    parts = [both(l.filter(a.isNotNull()), r.filter(b.isNotNull()), all_of([a == b, *others]), "inner")]
+    mine, theirs = ([a.isNotNull()] if left.vars[first].maybe else []), ([b.isNotNull()] if right.vars[first].maybe else [])
+    out = [Case(mine, theirs, [a == b, *(agree(n, left.vars[n], right.vars[n]) for n in rest)])]
+    others = cases(rest, left, right)
     if left.vars[first].maybe:
-        parts.append(both(l.filter(a.isNull()), r, all_of(others), "inner"))
+        out += [Case([a.isNull(), *c.left], c.right, c.both) for c in others]
     if right.vars[first].maybe:
-        parts.append(both(l.filter(a.isNotNull()), r.filter(b.isNull()), all_of(others), "inner"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return merged(out, left, right, shared)
+        out += [Case([*mine, *c.left], [b.isNull(), *c.right], c.both) for c in others]
+    return out
+
+
+def where(df: DataFrame, conditions: list[Column]) -> DataFrame:
+    return df.filter(all_of(conditions)) if conditions else df
+
+
+def pairs(l: DataFrame, r: DataFrame, found: list[Case], also: list[Column]) -> DataFrame:
+    """All pairs of any case."""
+    out = None
+    for c in found:
+        part = both(where(l, c.left), where(r, c.right), all_of([*c.both, *also]), "inner")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def matched(l: DataFrame, r: DataFrame, c: Case, also: list[Column], how: str) -> DataFrame:
+    """Left rows that have (left_semi) or lack (left_anti) a partner in a case."""
+    r = where(r, c.right)
+    if not c.both and not also:
+        r = r.limit(1)
+    return both(l, r, all_of([*c.left, *c.both, *also]), how)
+
+
+def unmatched(l: DataFrame, r: DataFrame, found: list[Case], also: list[Column]) -> DataFrame:
+    """Left rows without a partner in any case."""
+    for c in found:
+        l = matched(l, r, c, also, "left_anti")
+    return l
 
 
 def env_of(left: Solutions, right: Solutions, shared: dict[str, Info]) -> Callable[[str], Val | None]:
@@ -150,22 +189,31 @@ def env_of(left: Solutions, right: Solutions, shared: dict[str, Info]) -> Callab
 
 def left_join(left: Solutions, right: Solutions, condition: Callable[[Callable[[str], Val | None]], Column] | None) -> Solutions:
     l, r, shared = aligned(left, right)
-    conditions = [agree(n, left.vars[n], right.vars[n]) for n in shared]
-    if condition is not None:
-        conditions.append(F.coalesce(condition(env_of(left, right, shared)), F.lit(False)))
-    return merged(both(l, r, all_of(conditions), "left"), left, right, shared, outer=True)
+    also = [] if condition is None else [F.coalesce(condition(env_of(left, right, shared)), F.lit(False))]
+    found = cases(list(shared), left, right)
+    if len(found) == 1:
+        out = both(l, r, all_of([*found[0].both, *also]), "left")
+    else:
+        alone = unmatched(l, r, found, also).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in r.schema))
+        out = pairs(l, r, found, also).unionAll(alone)
+    return merged(out, left, right, shared, outer=True)
 
 
 def semi_join(left: Solutions, right: Solutions, wanted: bool, condition: Callable[[Callable[[str], Val | None]], Column] | None = None) -> Solutions:
     """EXISTS and NOT EXISTS."""
     l, r, shared = aligned(left, right)
-    conditions = [agree(n, left.vars[n], right.vars[n]) for n in shared]
-    if condition is not None:
-        conditions.append(F.coalesce(condition(env_of(left, right, shared)), F.lit(False)))
-    how = "left_semi" if wanted else "left_anti"
-    if not conditions:
-        r = r.limit(1)
-    return Solutions(both(l, r, all_of(conditions), how), {n: replace(shared.get(n, i), maybe=i.maybe) for n, i in left.vars.items()})
+    also = [] if condition is None else [F.coalesce(condition(env_of(left, right, shared)), F.lit(False))]
+    *first, last = cases(list(shared), left, right)
+    if wanted:
+        out = None
+        for c in first:
+            has, l = matched(l, r, c, also, "left_semi"), matched(l, r, c, also, "left_anti")
+            out = has if out is None else out.unionAll(has)
+        has = matched(l, r, last, also, "left_semi")
+        out = has if out is None else out.unionAll(has)
+    else:
+        out = unmatched(l, r, [*first, last], also)
+    return Solutions(out, {n: replace(shared.get(n, i), maybe=i.maybe) for n, i in left.vars.items()})
 
 
 def minus(left: Solutions, right: Solutions) -> Solutions:
@@ -174,14 +222,8 @@ def minus(left: Solutions, right: Solutions) -> Solutions:
     if not shared:
         return left
     r = r.select(*(ref(n, "r") for n in shared))
-    conditions = [agree(n, left.vars[n], right.vars[n]) for n in shared]
-    if all(left.vars[n].maybe or right.vars[n].maybe for n in shared):
-        some = [ref(n) == ref(n, "r") for n in shared]
-        any_ = some[0]
-        for c in some[1:]:
-            any_ = any_ | F.coalesce(c, F.lit(False))
-        conditions.append(F.coalesce(any_, F.lit(False)))
-    return Solutions(l.join(r, all_of(conditions), "left_anti"), {n: replace(shared.get(n, i), maybe=i.maybe) for n, i in left.vars.items()})
+    found = [c for c in cases(list(shared), left, right) if c.both]  # without an equality nothing is shared
+    return Solutions(unmatched(l, r, found, []), {n: replace(shared.get(n, i), maybe=i.maybe) for n, i in left.vars.items()})
 
 
 def union(left: Solutions, right: Solutions) -> Solutions:
