@@ -106,7 +106,9 @@ def zoneless(lex: str) -> bool:
 
 def written(t: Column) -> Column:
     """A term in N-Triples."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t["lex"], r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), "\r", r"\\r")
+    text = t["lex"]
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(a), F.lit(b))
     literal = F.concat(F.lit('"'), text, F.lit('"'), F.when(t["lang"].isNotNull(), F.concat(F.lit("@"), t["lang"])).when(t["dt"] == XSD + "string", "").otherwise(F.concat(F.lit("^^<"), t["dt"], F.lit(">"))))
     return F.when(t["kind"] == IRI, F.concat(F.lit("<"), t["lex"], F.lit(">"))).when(t["kind"] == BLANK, F.concat(F.lit("_:"), t["lex"])).when(t["kind"] == TRIPLE, t["lex"]).otherwise(literal)
 
@@ -125,8 +127,9 @@ def read_term(text: Column) -> Column:
     """A term from N-Triples."""
     literal = r'^"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^<>]*)>)?$'
     lex = F.regexp_extract(text, literal, 1)
-    for a, b in ((r"\\n", "\n"), (r"\\r", "\r"), (r"\\t", "\t"), (r'\\"', '"'), (r"\\\\", r"\\")):
-        lex = F.regexp_replace(lex, a, b)
+    # a pair of backslashes is put aside, so that what follows it isn't read as an escape
+    for a, b in (("\\\\", "\0"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"'), ("\0", "\\")):
+        lex = F.replace(lex, F.lit(a), F.lit(b))
     lang, dt = F.nullif(F.regexp_extract(text, literal, 2), F.lit("")), F.nullif(F.regexp_extract(text, literal, 3), F.lit(""))
     return (
         F.when(text.startswith("<< "), term_struct(TRIPLE, text))

@@ -7,19 +7,21 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 from collections.abc import Iterator
+from types import SimpleNamespace
 from typing import TYPE_CHECKING
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.values import BLANK, IRI, read_term, written
+from graphloom.functions.values import BLANK, IRI, read_term, term_struct, written
 from graphloom.plans.algebra import RDF, XSD
 from graphloom.sources.quads import SCHEMA, QuadSource
-from graphloom.sources.syntax import ENDINGS, rows_in, scope_of
+from graphloom.sources.syntax import ENDINGS, rows_in
 
 if TYPE_CHECKING:
     from graphloom.engine import Result
@@ -89,16 +91,49 @@ def write_lines(quads: DataFrame, path: str) -> None:
     lines_of(quads).write.mode("overwrite").text(path)
 
 
-def write_text(quads: DataFrame, how: str = "turtle", prefixes: dict[str, str] | None = None) -> str:
-    """A small graph as a document: turtle, trig, ntriples, nquads, rdfjson, jsonld, trix, rdfxml, csv, tsv, dot or html."""
+def to_write(quads: DataFrame) -> DataFrame:
+    """Columns that the writers take: terms, and their text (sw, ow)."""
     p = F.col("p") if dict(quads.dtypes)["p"] == "string" else F.col("p.lex")
     g = F.col("g") if "g" in quads.columns else F.lit(None).cast("string")
-    rows = quads.select(F.col("s"), p.alias("p"), F.col("o"), g.alias("g"), written(F.col("s")).alias("sw"), written(F.col("o")).alias("ow")).orderBy(F.col("g").asc_nulls_first(), "sw", "p", "ow").collect()
+    return quads.select(F.col("s"), p.alias("p"), F.col("o"), g.alias("g"), written(F.col("s")).alias("sw"), written(F.col("o")).alias("ow"))
+
+
+def in_order() -> list:
+    return [F.col("g").asc_nulls_first(), "sw", "p", "ow"]
+
+
+def write_text(quads: DataFrame, how: str = "turtle", prefixes: dict[str, str] | None = None) -> str:
+    """A small graph as a document: turtle, trig, ntriples, nquads, rdfjson, jsonld, trix, rdfxml, csv, tsv, dot, graphml or html."""
+    return document(to_write(quads).orderBy(*in_order()).collect(), how, prefixes)
+
+
+def write_documents(quads: DataFrame, path: str, how: str = "turtle", *, prefixes: dict[str, str] | None = None, compressed: bool = False, parts: int | None = None, genid: str = "urn:genid:") -> None:
+    """A graph of any size as a folder of documents, each whole in itself and of a range of graphs and subjects (parts: how many).
+    A label of a blank node means nothing in another document, so blank nodes become IRIs that begin with genid."""
+
+    def named(t: Column) -> Column:
+        return F.when(t["kind"] == BLANK, term_struct(IRI, F.concat(F.lit(genid), t["lex"]))).otherwise(t)
+
+    rows = to_write(quads.withColumn("s", named(F.col("s"))).withColumn("o", named(F.col("o"))))
+    dealt = [F.col("g").asc_nulls_first(), F.col("sw")]
+    rows = rows.repartitionByRange(parts, *dealt) if parts else rows.repartitionByRange(*dealt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [SimpleNamespace(**{**r, "s": SimpleNamespace(**r["s"]), "o": SimpleNamespace(**r["o"])}) for b in batches for r in b.to_pylist()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([document(found, how, prefixes)], pa.string())], ["value"])
+
+    out = rows.sortWithinPartitions(*in_order()).mapInArrow(run, "value string").write.mode("overwrite")
+    (out.option("compression", "gzip") if compressed else out).text(path)
+
+
+def document(rows: list, how: str, prefixes: dict[str, str] | None = None) -> str:
+    """Rows of to_write, sorted, as one document."""
     if how in ("ntriples", "nquads"):
         return "".join(f"{r.sw} <{r.p}> {r.ow}{f' <{r.g}>' if r.g and how == 'nquads' else ''} .\n" for r in rows)
     if how in ("csv", "tsv"):
         out = io.StringIO()
-        csv.writer(out, delimiter="," if how == "csv" else "\t", lineterminator="\n").writerows((r.s.lex if r.s.kind == IRI else r.sw, r.p, r.o.lex if r.o.kind == IRI else r.ow) for r in rows)
+        csv.writer(out, delimiter="," if how == "csv" else "\t", lineterminator="\n").writerows((r.s.lex if r.s.kind == IRI else r.sw, r.p, r.o.lex if r.o.kind == IRI else r.ow, *([r.g] if r.g else [])) for r in rows)
         return out.getvalue()
     if how == "rdfjson":
         data: dict = {}
@@ -132,9 +167,9 @@ def write_text(quads: DataFrame, how: str = "turtle", prefixes: dict[str, str] |
             return f"<plainLiteral{f' xml:lang={quoteattr(t.lang)}' if t.lang else ''}>{escape(t.lex)}</plainLiteral>" if t.lang or t.dt == XSD + "string" else f"<typedLiteral datatype={quoteattr(t.dt)}>{escape(t.lex)}</typedLiteral>"
 
         parts = ['<?xml version="1.0" encoding="utf-8"?>\n<TriX xmlns="http://www.w3.org/2004/03/trix/trix-1/">']
-        for g in dict.fromkeys(r.g for r in rows):
+        for g, own in itertools.groupby(rows, lambda r: r.g):
             parts.append("<graph>" + (f"<uri>{escape(g)}</uri>" if g else ""))
-            parts += [f"<triple>{one(r.s, r.sw)}<uri>{escape(r.p)}</uri>{one(r.o, r.ow)}</triple>" for r in rows if r.g == g]
+            parts += [f"<triple>{one(r.s, r.sw)}<uri>{escape(r.p)}</uri>{one(r.o, r.ow)}</triple>" for r in own]
             parts.append("</graph>")
         return "\n".join([*parts, "</TriX>\n"])
     if how == "rdfxml":
@@ -160,14 +195,13 @@ def write_text(quads: DataFrame, how: str = "turtle", prefixes: dict[str, str] |
             return w
 
         parts = [f"@prefix {n}: <{i}> .\n" for n, i in prefixes.items()]
-        for g in dict.fromkeys(r.g for r in rows):
+        for g, own in itertools.groupby(rows, lambda r: r.g):
             if g:
                 parts.append(f"<{g}> {{\n")
             subject = None
-            for r in rows:
-                if r.g == g:
-                    parts.append((f"{' .' if subject else ''}\n{short(r.sw)}" if r.sw != subject else " ;\n   ") + f" {'a' if r.p == RDF + 'type' else short(f'<{r.p}>')} {short(r.ow)}")
-                    subject = r.sw
+            for r in own:
+                parts.append((f"{' .' if subject else ''}\n{short(r.sw)}" if r.sw != subject else " ;\n   ") + f" {'a' if r.p == RDF + 'type' else short(f'<{r.p}>')} {short(r.ow)}")
+                subject = r.sw
             parts.append(" .\n" + ("}\n" if g else ""))
         return "".join(parts)
     if how == "dot":
@@ -176,6 +210,13 @@ def write_text(quads: DataFrame, how: str = "turtle", prefixes: dict[str, str] |
             return json.dumps(t.lex if t.kind == IRI else w, ensure_ascii=False)
 
         return "digraph {\n" + "".join(f"{node(r.s, r.sw)} -> {node(r.o, r.ow)} [label={json.dumps(r.p)}];\n" for r in rows) + "}\n"
+    if how == "graphml":
+        number = {w: f"n{i}" for i, w in enumerate(dict.fromkeys(w for r in rows for w in (r.sw, r.ow)))}
+        text = {**{r.sw: r.s.lex for r in rows}, **{r.ow: r.o.lex for r in rows}}
+        nodes = "".join(f'<node id="{i}"><data key="label">{escape(text[w])}</data></node>\n' for w, i in number.items())
+        edges = "".join(f'<edge source="{number[r.sw]}" target="{number[r.ow]}"><data key="edgelabel">{escape(r.p)}</data></edge>\n' for r in rows)
+        keys = "".join(f'<key id="{k}" for="{of}" attr.name="label" attr.type="string"/>\n' for k, of in (("label", "node"), ("edgelabel", "edge")))
+        return f'<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n{keys}<graph edgedefault="directed">\n{nodes}{edges}</graph>\n</graphml>\n'
     if how == "html":
         cells = "".join("<tr>" + "".join(f"<td>{escape(x)}</td>" for x in (r.sw, f"<{r.p}>", r.ow)) + "</tr>\n" for r in rows)
         return f"<table>\n<tr><th>subject</th><th>predicate</th><th>object</th></tr>\n{cells}</table>\n"
@@ -221,7 +262,3 @@ def write_result(result: Result, how: str = "json") -> str:
         for r in texts:
             out.write("\t".join("" if r[n] is None else r[n] for n in names) + "\n")
     return out.getvalue()
-
-
-def file_scope(name: str) -> str:
-    return scope_of(name)
