@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.builtins import Function
@@ -14,6 +16,7 @@ from graphloom.functions.values import Val, as_term, text_of, written
 from graphloom.operators.describe import describe
 from graphloom.plans import algebra as A
 from graphloom.plans.compiler import Compiler, Context
+from graphloom.plans.parameters import Parameterized
 from graphloom.plans.parser import parse_query
 from graphloom.plans.solutions import Solutions, ref
 
@@ -44,10 +47,15 @@ class Result:
         return s.df.select(*(as_term(s.val(n)).col.alias(n) for n in s.vars))
 
 
+class QueryTimeout(TimeoutError):
+    """A query took longer than it may."""
+
+
 @dataclass
 class Engine:
     """source: quads or a mapped graph. functions: custom functions by IRI. properties: property functions by IRI. aliases:
-    namespaces that mean one of the built-in ones. service: answers SERVICE patterns."""
+    namespaces that mean one of the built-in ones. service: answers SERVICE patterns. timeout: seconds that `rows` may take (None:
+    any); partial: then it gives the rows it has instead of an error."""
 
     spark: SparkSession
     source: Any
@@ -57,6 +65,8 @@ class Engine:
     aliases: dict[str, str] = field(default_factory=dict)
     service: Callable[[str, Any], Solutions] | None = None
     describer: str = "cbd"
+    timeout: float | None = None
+    partial: bool = False
 
     def compiler(self, source: Any = None) -> Compiler:
         return Compiler(self.spark, source or self.source, self.functions, self.properties, self.service)
@@ -64,8 +74,8 @@ class Engine:
     def parse(self, text: str) -> A.Query:
         return parse_query(text, prefixes=self.prefixes, aliases=self.aliases)
 
-    def query(self, text: str | A.Query) -> Result:
-        q = self.parse(text) if isinstance(text, str) else text
+    def query(self, text: str | A.Query | Parameterized) -> Result:
+        q = text if isinstance(text, A.Query) else self.parse(str(text))
         c = self.compiler(self.source.dataset(q.default_graphs, q.named_graphs))
         if q.form == "SELECT":
             return Result("SELECT", c.select(q, Context()))
@@ -78,6 +88,45 @@ class Engine:
     def select(self, text: str) -> DataFrame:
         return self.query(text).df
 
+    def rows(self, text: str | A.Query) -> list[Row]:
+        """A small result's rows, within the engine's timeout; rounds of paths count, too. Partitions arrive one after the other."""
+        sc, tag, over, out = self.spark.sparkContext, f"query-{uuid.uuid4().hex}", threading.Event(), []
+
+        def stop() -> None:
+            over.set()
+            sc.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(self.timeout, stop) if self.timeout is not None else None
+        sc.addJobTag(tag)
+        try:
+            if timer:
+                timer.start()
+            df = self.query(text).df
+            if not self.partial:
+                out = df.collect()
+            else:
+                for row in df.toLocalIterator():
+                    if over.is_set():
+                        break
+                    out.append(row)
+        except Exception:
+            if not over.is_set():
+                raise
+        finally:
+            if timer:
+                timer.cancel()
+            sc.removeJobTag(tag)
+        if over.is_set() and not self.partial:
+            raise QueryTimeout(f"no result within {self.timeout} seconds")
+        return out
+
+    def explain(self, text: str, mode: str = "formatted") -> str:
+        """The plan of a SELECT, CONSTRUCT or DESCRIBE, or of an ASK's pattern; nothing runs but the rounds of paths and descriptions."""
+        q = self.parse(text)
+        result = Result("SELECT", self.compiler(self.source.dataset(q.default_graphs, q.named_graphs)).pattern(q.pattern, Context())) if q.form == "ASK" else self.query(q)
+        df = result.triples if result.triples is not None else result.solutions.df
+        return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
     def ask(self, text: str) -> bool:
         return bool(self.query(text).answer)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,13 @@ from pyspark.sql import functions as F
 from graphloom.engine import Engine
 from graphloom.operators import fulltext, inference, shacl
 from graphloom.plans.algebra import XSD
-from graphloom.sources import files
+from graphloom.plans.parameters import Parameterized
+from graphloom.sources import files, results
 from graphloom.sources.mapped import tables_in
 from graphloom.sources.quads import QuadSource
+from graphloom.staging import shared_dir
 from graphloom.store import Store
+from graphloom.streaming.views import Handlers, merged_results
 
 #: name: (tables, SPARQL, DuckDB SQL)
 PAIRS: dict[str, tuple[str, str, str]] = {}
@@ -253,3 +258,146 @@ SQL |= {
     "rules_unbounded": "SELECT 820::BIGINT AS n",
     "update_data_and_drop": "SELECT 'default' AS g, 4 * count(*) AS n FROM nation UNION ALL SELECT 'urn:g:a', 2",
 }
+
+
+# files and results
+
+
+def result_round_trip(how: str) -> None:
+    """A result written and read again, with an unbound variable and what CSV and TSV must quote."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        e = Engine(spark, tables_in(spark, folder, ["nation"]), {"n": "urn:col:nation#"})
+        text = files.write_result(e.query('SELECT ?name ?k ?odd { ?x n:n_name ?name ; n:n_nationkey ?k OPTIONAL { ?x n:n_nationkey 3 BIND("a,\\"b\\"" AS ?odd) } }'), how)
+        got = results.read_result(spark, text, how)
+        return got.select(F.col("name.lex").alias("name"), F.col("k.lex").alias("k"), F.col("odd.lex").alias("odd"))
+
+    QUERIES[f"result_{how}"] = run
+    SQL[f"result_{how}"] = "SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS k, CASE WHEN n_nationkey = 3 THEN 'a,\"b\"' END AS odd FROM nation"
+
+
+for _how in ("json", "xml", "csv", "tsv"):
+    result_round_trip(_how)
+
+
+def result_as_graph(spark: SparkSession, folder: str) -> DataFrame:
+    e = Engine(spark, tables_in(spark, folder, ["region"]), {"r": "urn:col:region#"})
+    got = files.read_text(spark, results.as_graph(e.query("SELECT ?n ?k { ?x r:r_name ?n ; r:r_regionkey ?k }"))).quads
+    return got.groupBy(F.regexp_extract("p", "#(.*)$", 1).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def documents_round_trip(name: str, how: str, compressed: bool, graph: str | None = None) -> None:
+    """A graph written as several documents and read again: rows by predicate, and the graphs' names."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        quads = tables_in(spark, folder, ["customer"]).quads().quads.withColumn("g", F.lit(graph).cast("string"))
+        path = f"{shared_dir(spark)}/graph-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        files.write_documents(quads, path, how, compressed=compressed, parts=4)
+        got = files.read_files(spark, path, how).quads
+        return got.filter(F.col("p").startswith("urn:col:")).groupBy("p", F.coalesce("g", F.lit("none")).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+
+    QUERIES[name] = run
+    SQL[name] = " UNION ALL ".join(f"SELECT 'urn:col:customer#{c}' AS p, '{graph or 'none'}' AS g, count(*) AS n FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+
+
+for _how in ("turtle", "ntriples", "rdfxml", "rdfjson", "jsonld"):
+    documents_round_trip(f"documents_gz_{_how}", _how, True)
+for _how in ("nquads", "trig", "trix", "csv", "tsv"):
+    documents_round_trip(f"documents_gz_{_how}", _how, True, "urn:g:customers")
+documents_round_trip("documents_turtle", "turtle", False)
+
+
+# queries with parameters, order of patterns, limits of time
+
+
+def parameterized(spark: SparkSession, folder: str) -> DataFrame:
+    q = Parameterized('SELECT ?n { ?x nation:n_name ?n ; nation:n_nationkey ?k FILTER(?k >= @least && ?n != @name && "@least" != "") }', {"least": 20})
+    return Engine(spark, tables_in(spark, folder, ["nation"]), {"nation": "urn:col:nation#"}).select(str(q.set(name='x" || true || "')))
+
+
+def ordered_patterns(name: str, order: str) -> None:
+    """The order in which patterns are joined changes no result."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        source = tables_in(spark, folder, ["nation", "supplier"]).quads()
+        source = source.weighted() if order == "weighted" else replace(source, order=order)
+        e = Engine(spark, source, {"n": "urn:col:nation#", "s": "urn:col:supplier#", "sr": "urn:ref:supplier#"})
+        return e.select("SELECT (STR(?n) AS ?name) (COUNT(*) AS ?c) { ?y s:s_name ?z . ?y sr:s_nationkey ?x . ?x n:n_name ?n } GROUP BY ?n")
+
+    QUERIES[name], SQL[name] = run, "SELECT n_name AS name, count(*) AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1"
+
+
+for _order in ("written", "weighted", "fixed"):
+    ordered_patterns(f"order_{_order}", _order)
+
+
+def timed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows within a limit of time."""
+    e = Engine(spark, tables_in(spark, folder, ["region"]), {"r": "urn:col:region#"}, timeout=600)
+    return spark.createDataFrame(e.rows("SELECT ?n ?k { ?x r:r_name ?n ; r:r_regionkey ?k }"), "n string, k long")
+
+
+# handlers
+
+
+def handlers_iris(spark: SparkSession, folder: str) -> DataFrame:
+    return Handlers(tables_in(spark, folder, ["region"]).quads().quads).iris().select(F.when(F.col("value").startswith("urn:row:"), "row").otherwise(F.col("value")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def handlers_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return Handlers(tables_in(spark, folder, ["region"]).quads().quads).texts()
+
+
+def handlers_several(spark: SparkSession, folder: str) -> DataFrame:
+    """Two handlers of one stream of rows, and a store that takes them."""
+    store = Store.empty(spark)
+    a, b, _ = Handlers(tables_in(spark, folder, ["region"]).quads().quads).to_all(Handlers.count, lambda h: h.only(F.col("o.kind") == 2).count(), lambda h: h.into(store))
+    return a.select(F.lit("all").alias("what"), "n").unionAll(b.select(F.lit("literals"), "n")).unionAll(Handlers(store.source.quads).count().select(F.lit("stored"), "n"))
+
+
+def handlers_blank_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Two documents with one label: two nodes, once each has a scope of its own."""
+    q = files.read_text(spark, "_:a <urn:p> _:b .").quads
+    both = Handlers(q).own_blank_nodes("one").df.unionAll(Handlers(q).own_blank_nodes("two").df)
+    return both.agg(F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"))
+
+
+def handlers_merged_results(spark: SparkSession, folder: str) -> DataFrame:
+    e = Engine(spark, tables_in(spark, folder, ["region"]), {"r": "urn:col:region#"})
+    got = merged_results(e.query("SELECT ?n { ?x r:r_name ?n }"), e.query("SELECT ?n ?k { ?x r:r_name ?n ; r:r_regionkey ?k FILTER(?k > 1) }"))
+    return got.select(F.col("n.lex").alias("n"), F.col("k.lex").alias("k"))
+
+
+# shapes in SPARQL
+
+DECLARED = '<urn:P> sh:declare [ sh:prefix "p" ; sh:namespace "urn:col:part#"^^xsd:anyURI ] . '
+shapes(
+    "shacl_sparql",
+    "part",
+    DECLARED + PART + 'sh:sparql [ a sh:SPARQLConstraint ; sh:prefixes <urn:P> ; sh:select "SELECT $this ?value { $this p:p_size ?value FILTER(?value > 40) }" ] ; sh:sparql [ sh:prefixes <urn:P> ; sh:select "SELECT $this { FILTER NOT EXISTS { $this p:p_brand \\"Brand#11\\" } }" ] .',
+    {"SPARQL": "SELECT count(*) FILTER (p_size > 40) + count(*) FILTER (p_brand <> 'Brand#11') FROM part"},
+)
+COMPONENTS = (
+    '<urn:c:MostConstraintComponent> a sh:ConstraintComponent ; sh:parameter [ sh:path <urn:par:most> ] , [ sh:path <urn:par:unused> ; sh:optional true ] ; sh:validator [ a sh:SPARQLAskValidator ; sh:ask "ASK { FILTER(?value <= ?most) }" ] . '
+    '<urn:c:LeastConstraintComponent> a sh:ConstraintComponent ; sh:parameter [ sh:path <urn:par:least> ] ; sh:propertyValidator [ a sh:SPARQLSelectValidator ; sh:select "SELECT $this ?value { $this $PATH ?value FILTER(?value < ?least) }" ] . '
+)
+
+
+def shacl_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Components that are defined by an ASK and by a SELECT."""
+    found = shacl.validate(tables_in(spark, folder, ["part"]).quads(), SHAPE_PREFIXES + COMPONENTS + PART + "sh:property [ sh:path p:p_size ; <urn:par:most> 30 ; <urn:par:least> 5 ] .")
+    return found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("values"))
+
+
+QUERIES |= {f.__name__: f for f in (result_as_graph, parameterized, timed_rows, handlers_iris, handlers_texts, handlers_several, handlers_blank_nodes, handlers_merged_results, shacl_components)}
+SQL |= {
+    "result_as_graph": "SELECT * FROM (SELECT 'type' AS p, 1::BIGINT AS n UNION ALL SELECT 'resultVariable', 2 UNION ALL SELECT 'solution', count(*) FROM region UNION ALL SELECT 'binding', 2 * count(*) FROM region UNION ALL SELECT 'variable', 2 * count(*) FROM region UNION ALL SELECT 'value', 2 * count(*) FROM region)",
+    "parameterized": "SELECT n_name AS n FROM nation WHERE n_nationkey >= 20",
+    "timed_rows": "SELECT r_name AS n, CAST(r_regionkey AS BIGINT) AS k FROM region",
+    "handlers_iris": "SELECT 'row' AS kind, count(*) AS n FROM region UNION ALL SELECT x, 1 FROM (VALUES ('urn:table:region'), ('urn:col:region#r_regionkey'), ('urn:col:region#r_name'), ('http://www.w3.org/1999/02/22-rdf-syntax-ns#type')) v(x)",
+    "handlers_texts": "SELECT r_name AS value FROM region UNION ALL SELECT CAST(r_regionkey AS VARCHAR) FROM region",
+    "handlers_several": "SELECT 'all' AS what, 3 * count(*) AS n FROM region UNION ALL SELECT 'literals', 2 * count(*) FROM region UNION ALL SELECT 'stored', 3 * count(*) FROM region",
+    "handlers_blank_nodes": "SELECT 2::BIGINT AS subjects, 2::BIGINT AS objects",
+    "handlers_merged_results": "SELECT r_name AS n, NULL::VARCHAR AS k FROM region UNION ALL SELECT r_name, CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey > 1",
+    "shacl_components": "SELECT 'urn:c:MostConstraintComponent' AS component, count(*) AS n, count(DISTINCT p_size) AS values FROM part WHERE p_size > 30 UNION ALL SELECT 'urn:c:LeastConstraintComponent', count(*), count(DISTINCT p_size) FROM part WHERE p_size < 5",
+}

@@ -1,16 +1,20 @@
-"""Validation of shapes (SHACL core): every constraint is one plan over all focus nodes; results are a table of violations."""
+"""Validation of shapes (SHACL core, constraints and components in SPARQL): every constraint is one plan over all focus nodes;
+results are a table of violations."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.values import BLANK, IRI, LITERAL, TERM_TYPE, Val, as_term, less, read_term, text_of
+from graphloom.functions.values import BLANK, IRI, LITERAL, TERM_TYPE, Val, less, read_term, text_of
 from graphloom.plans import algebra as A
 from graphloom.plans.compiler import Compiler, Context
+from graphloom.plans.parser import parse_query
+from graphloom.plans.solutions import Info, Solutions, column, ref
 from graphloom.sources.quads import QuadSource
 from graphloom.sources.syntax import rows_in
 
@@ -39,6 +43,36 @@ class ShapesGraph:
             head = self.one(head, A.RDF + "rest")
         return out
 
+    def text(self, s: str, name: str) -> str | None:
+        """A string's characters."""
+        found = self.one(s, name)
+        if found is None:
+            return None
+        escapes = {"n": "\n", "r": "\r", "t": "\t"}
+        return re.sub(r"\\(.)", lambda m: escapes.get(m[1], m[1]), found[1 : found.rindex('"')])
+
+    def query(self, s: str, name: str, path: str | None) -> A.Query:
+        """A SELECT or ASK with the prefixes that it names; $PATH stands for the shape's path, which must be one predicate there."""
+        declared = [d for p in self.all(s, "prefixes") for d in self.all(p, "declare")]
+        prefixes = {self.text(d, "prefix"): self.text(d, "namespace") for d in declared}
+        text = self.text(s, name)
+        if "$PATH" in text:
+            if not (path or "").startswith("<"):
+                raise ValueError(f"$PATH stands for one predicate only, not for {path}")
+            text = text.replace("$PATH", path)
+        return parse_query(text, prefixes=prefixes)
+
+    def components(self) -> list[str]:
+        return sorted(s for s in self.by if f"<{SH}ConstraintComponent>" in self.all(s, A.RDF + "type"))
+
+    def parameters(self, component: str) -> list[tuple[str, str, bool]]:
+        """Name, predicate, and whether it may be left out."""
+        out = []
+        for p in self.all(component, "parameter"):
+            iri = self.one(p, "path")[1:-1]
+            out.append((re.split("[#/:]", iri)[-1], iri, self.one(p, "optional") == f'"true"^^<{A.XSD}boolean>'))
+        return out
+
     def path(self, n: str) -> Any:
         if n.startswith("<"):
             return A.Link(n[1:-1])
@@ -111,7 +145,7 @@ class Validator:
         for bad, component in self.constraints(shape, focus, values):
             severity = (self.shapes.one(shape, "severity") or f"<{SH}Violation>")[1:-1]
             message = self.shapes.one(shape, "message")
-            out = out.unionAll(bad.select("focus", F.lit(path).cast("string").alias("path"), (F.col("value") if "value" in bad.columns else F.lit(None).cast(TERM_TYPE)).alias("value"), F.lit(SH + component).alias("component"), F.lit(shape).alias("shape"), F.lit(severity).alias("severity"), (text_of(Val("term", self.term(message))) if message else F.lit(None).cast("string")).alias("message")))
+            out = out.unionAll(bad.select("focus", F.lit(path).cast("string").alias("path"), (F.col("value") if "value" in bad.columns else F.lit(None).cast(TERM_TYPE)).alias("value"), F.lit(component if ":" in component else SH + component).alias("component"), F.lit(shape).alias("shape"), F.lit(severity).alias("severity"), (text_of(Val("term", self.term(message))) if message else F.lit(None).cast("string")).alias("message")))
         for inner in self.shapes.all(shape, "property"):
             out = out.unionAll(self.check(inner, values.select(F.col("value").alias("focus")).distinct()))
         return out
@@ -205,10 +239,49 @@ class Validator:
             allowed = [g.one(p, "path")[1:-1] for p in g.all(shape, "property") if (g.one(p, "path") or "").startswith("<")] + [i[1:-1] for i in g.items(g.one(shape, "ignoredProperties"))]
             yield self.triples.join(focus, F.col("s") == F.col("focus"), "left_semi").filter(~F.col("p").isin(allowed)).select(F.col("s").alias("focus"), F.col("o").alias("value")), "ClosedConstraintComponent"
 
+        path = g.one(shape, "path")
+        for x in g.all(shape, "sparql"):
+            if g.one(x, "deactivated") != f'"true"^^<{A.XSD}boolean>':
+                yield self.selected(g.query(x, "select", path), focus, {}), "SPARQLConstraintComponent"
+        for component in g.components():
+            given = {name: g.one(shape, iri) for name, iri, _ in g.parameters(component)}
+            if all(given[name] or optional for name, _, optional in g.parameters(component)):
+                own = g.one(component, "propertyValidator" if path else "nodeValidator") or g.one(component, "validator")
+                bound = {name: x for name, x in given.items() if x}
+                if own and g.one(own, "ask"):
+                    yield self.refused(g.query(own, "ask", path), values, bound), component[1:-1]
+                elif own:
+                    yield self.selected(g.query(own, "select", path), focus, bound), component[1:-1]
 
-def validate(data: QuadSource, shapes: str, how: str = "turtle") -> DataFrame:
-    return Validator(data, ShapesGraph(shapes, how)).validate()
+    def bound_in(self, q: A.Query, rows: DataFrame, bound: dict[str, str]) -> A.Query:
+        """A query whose pattern starts from rows, a column of terms for each variable, and from parameters."""
+        columns = {**{n: F.col(n) for n in rows.columns}, **{n: self.term(x) for n, x in bound.items()}}
+        start = A.Frame(Solutions(rows.select(*(c.alias(column(n)) for n, c in columns.items())), {n: Info("term") for n in columns}))
+
+        def first(p: Any) -> Any:
+            if isinstance(p, (A.Filter, A.Extend)):
+                return replace(p, inner=first(p.inner))
+            if isinstance(p, (A.LeftJoin, A.Minus)):
+                return replace(p, left=first(p.left))
+            if isinstance(p, A.Union_):
+                return replace(p, left=first(p.left), right=first(p.right))
+            return A.Join(start, p)
+
+        return replace(q, pattern=first(q.pattern))
+
+    def selected(self, q: A.Query, focus: DataFrame, bound: dict[str, str]) -> DataFrame:
+        """(focus, value): a violation for each solution; its ?value, or the focus node where there is none."""
+        q = self.bound_in(q, focus.select(F.col("focus").alias("this")), bound)
+        s = self.compiler.select(q, Context()).terms()
+        value = F.coalesce(ref("value"), ref("this")) if "value" in s.vars else ref("this")
+        return s.df.select(ref("this").alias("focus"), value.alias("value"))
 
+    def refused(self, q: A.Query, values: DataFrame, bound: dict[str, str]) -> DataFrame:
+        """(focus, value) for which an ASK has no solution."""
+        q = self.bound_in(q, values.select(F.col("focus").alias("this"), "value").distinct(), bound)
+        s = self.compiler.pattern(q.pattern, Context()).terms().df.select(ref("this").alias("focus"), ref("value").alias("value")).distinct()
+        return values.join(s, ["focus", "value"], "left_anti")
 
-def as_column(v: Val) -> Column:
-    return as_term(v).col
+
+def validate(data: QuadSource, shapes: str, how: str = "turtle") -> DataFrame:
+    return Validator(data, ShapesGraph(shapes, how)).validate()

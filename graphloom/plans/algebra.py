@@ -191,6 +191,13 @@ class Service:
     silent: bool
 
 
+@dataclass(frozen=True)
+class Frame:
+    """Solutions that are there already."""
+
+    solutions: Any
+
+
 @dataclass(frozen=True)
 class SubQuery:
     query: "Query"
@@ -247,6 +254,9 @@ def variables(x: Any) -> list[str]:
         elif isinstance(n, Values):
             for v in n.vars:
                 out.setdefault(v)
+        elif isinstance(n, Frame):
+            for v in n.solutions.vars:
+                out.setdefault(v)
         elif isinstance(n, (Graph, Service)):
             walk(n.name if isinstance(n, Graph) else n.endpoint)
             walk(n.inner)

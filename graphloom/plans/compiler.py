@@ -215,6 +215,9 @@ class Compiler:
                 return self.identity()
             raise
 
+    def do_frame(self, p: A.Frame, c: Context) -> Solutions:
+        return p.solutions
+
     def do_subquery(self, p: A.SubQuery, c: Context) -> Solutions:
         return self.select(p.query, c)
 

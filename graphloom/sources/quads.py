@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.values import IRI, TERM_TYPE, Val, as_term, constant, term_struct
+from graphloom.functions.values import IRI, TERM_TYPE, Val, as_term, constant
 from graphloom.plans import algebra as A
 from graphloom.plans.solutions import Info, Solutions, column
 
@@ -17,12 +17,15 @@ SCHEMA = f"s {TERM_TYPE}, p string, o {TERM_TYPE}, g string"
 @dataclass(frozen=True)
 class QuadSource:
     """A dataset. default: graphs whose union is the default graph (None among them: the unnamed one); named: those that GRAPH
-    sees (None: all named ones). union: the default graph is the union of all graphs."""
+    sees (None: all named ones). union: the default graph is the union of all graphs. order: patterns are joined by how many of their
+    places are fixed (fixed), as they are written (written), or by the rows expected from weights, those of predicates (weighted)."""
 
     quads: DataFrame
     default: tuple[str | None, ...] = (None,)
     named: tuple[str, ...] | None = None
     union: bool = False
+    order: str = "fixed"
+    weights: tuple[tuple[str, int], ...] = ()
 
     @staticmethod
     def empty(spark: SparkSession) -> QuadSource:
@@ -57,8 +60,27 @@ class QuadSource:
 
     def star(self, triples: list[A.Triple], graph: A.Node | None) -> list[Solutions]:
         """A scan for each pattern, the most selective first; fixed places become filters that reach the files."""
-        ranked = sorted(triples, key=lambda t: [isinstance(n, A.Var) for n in (t.s, t.o, t.p)])
-        return [self.scan(t, graph) for t in ranked]
+        return [self.scan(t, graph) for t in self.ranked(triples)]
+
+    def ranked(self, triples: list[A.Triple]) -> list[A.Triple]:
+        if self.order == "written":
+            return list(triples)
+        fixed = [[not isinstance(n, A.Var) for n in (t.s, t.o, t.p)] for t in triples]
+        if self.order == "fixed":
+            return [t for _, t in sorted(zip(fixed, triples, strict=True), key=lambda x: x[0], reverse=True)]
+        of = dict(self.weights)
+        all_, least = sum(of.values()), min(of.values(), default=0)
+
+        def expected(t: A.Triple, f: list[bool]) -> float:
+            n = of.get(t.p.value, least) if isinstance(t.p, A.Iri) else all_
+            return n ** (1.0, 0.5, 0.0)[f[0] + f[1]]  # a fixed end leaves the square root, two leave a row
+
+        return [t for _, t in sorted(zip((expected(t, f) for t, f in zip(triples, fixed, strict=True)), triples, strict=True), key=lambda x: x[0])]
+
+    def weighted(self, most: int = 1000) -> QuadSource:
+        """This source with the rows of its most frequent predicates as weights; one that isn't among them weighs like the least."""
+        rows = self.quads.groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").limit(most).collect()
+        return replace(self, order="weighted", weights=tuple((r["p"], r["n"]) for r in rows))
 
     def scan(self, t: A.Triple, graph: A.Node | None) -> Solutions:
         rows, cols, info = self.in_graph(graph), {}, {}
@@ -92,10 +114,3 @@ class QuadSource:
             rows = rows.filter(condition)
         return Solutions(rows.select(*(c.alias(column(n)) for n, c in cols.items())), info)
 
-
-def graph_name(spark: SparkSession, iri: str | None) -> Column:
-    return F.lit(iri).cast("string")
-
-
-def iri_term(c: Column) -> Column:
-    return term_struct(IRI, c)

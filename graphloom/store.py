@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.engine import Engine, Result
 from graphloom.plans import algebra as A
 from graphloom.plans.compiler import Context
+from graphloom.plans.parameters import Parameterized
 from graphloom.plans.parser import parse_update
 from graphloom.sources.files import read_files, read_text
 from graphloom.sources.quads import SCHEMA, QuadSource
@@ -56,15 +57,27 @@ class Store:
         q = self.source.quads
         self.replace(q.join(gone, (q["s"] == gone["ds"]) & (q["p"] == gone["dp"]) & (q["o"] == gone["do"]) & q["g"].eqNullSafe(gone["dg"]), "left_anti"))
 
-    def update(self, text: str) -> None:
+    def update(self, text: str | Parameterized) -> None:
         """Commands one after the other; each sees what those before it did."""
-        for c in parse_update(text, prefixes=self.prefixes):
+        for c in parse_update(str(text), prefixes=self.prefixes):
             try:
                 self.run(c)
             except Exception:
                 if not c.options.get("silent"):
                     raise
 
+    def explain(self, text: str, mode: str = "formatted") -> list[str]:
+        """The plan of each command's pattern, or the command itself where it has none; nothing is changed."""
+        out = []
+        for c in parse_update(text, prefixes=self.prefixes):
+            if c.kind == "MODIFY":
+                source = self.source.dataset(c.options["using"], c.options["named"])
+                df = self.engine(source).compiler(source).pattern(c.options["pattern"], Context()).df
+                out.append(f"{c.kind}\n" + df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode))
+            else:
+                out.append(c.kind)
+        return out
+
     def graph_names(self) -> set[str]:
         return {r["g"] for r in self.source.quads.select("g").distinct().filter("g is not null").collect()} | self.known
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from graphloom.engine import Result
+from graphloom.functions.values import BLANK, IRI, LITERAL
 from graphloom.sources.files import by_line, from_texts
 from graphloom.store import Store
 
@@ -66,5 +68,35 @@ class Handlers:
     def without_duplicates(self) -> Handlers:
         return Handlers(self.df.distinct())
 
+    def iris(self) -> DataFrame:
+        """(value) every IRI among subjects, predicates and objects."""
+        found = self.df.select(F.explode(F.array(F.when(F.col("s.kind") == IRI, F.col("s.lex")), F.col("p"), F.when(F.col("o.kind") == IRI, F.col("o.lex")))).alias("value"))
+        return found.filter("value is not null").distinct()
+
+    def texts(self) -> DataFrame:
+        """(value) the text of every literal."""
+        return self.df.filter(F.col("o.kind") == LITERAL).select(F.col("o.lex").alias("value")).distinct()
+
+    def own_blank_nodes(self, scope: str) -> Handlers:
+        """Labels of blank nodes begin with scope, so that those of two sources differ."""
+
+        def own(name: str) -> Column:
+            t = F.col(name)
+            return F.when(t["kind"] == BLANK, t.withField("lex", F.concat(F.lit(scope), t["lex"]))).otherwise(t)
+
+        return Handlers(self.df.withColumn("s", own("s")).withColumn("o", own("o")))
+
+    def to_all(self, *handlers: Callable[[Handlers], Any]) -> list[Any]:
+        """Every handler gets the same rows; what they return."""
+        return [h(self) for h in handlers]
+
     def into(self, store: Store) -> None:
         store.insert(self.df)
+
+
+def merged_results(*results: Result) -> DataFrame:
+    """The solutions of several queries as one table of terms; a variable that one of them lacks is unbound there."""
+    out = results[0].terms
+    for r in results[1:]:
+        out = out.unionByName(r.terms, allowMissingColumns=True)
+    return out
