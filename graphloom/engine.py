@@ -98,6 +98,7 @@ class Engine:
 
         timer = threading.Timer(self.timeout, stop) if self.timeout is not None else None
         sc.addJobTag(tag)
+        sc.setInterruptOnCancel(True)
         try:
             if timer:
                 timer.start()
@@ -116,6 +117,7 @@ class Engine:
             if timer:
                 timer.cancel()
             sc.removeJobTag(tag)
+            sc.setInterruptOnCancel(False)
         if over.is_set() and not self.partial:
             raise QueryTimeout(f"no result within {self.timeout} seconds")
         return out
