@@ -401,3 +401,15 @@ SQL |= {
     "handlers_merged_results": "SELECT r_name AS n, NULL::VARCHAR AS k FROM region UNION ALL SELECT r_name, CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey > 1",
     "shacl_components": "SELECT 'urn:c:MostConstraintComponent' AS component, count(*) AS n, count(DISTINCT p_size) AS values FROM part WHERE p_size > 30 UNION ALL SELECT 'urn:c:LeastConstraintComponent', count(*), count(DISTINCT p_size) FROM part WHERE p_size < 5",
 }
+
+
+def describe_named_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """What two graphs hold, described by their names."""
+    tables = [tables_in(spark, folder, [t]).quads().quads.withColumn("g", F.lit(f"urn:g:{t}")) for t in ("region", "nation", "supplier")]
+    e = Engine(spark, QuadSource(tables[0].unionAll(tables[1]).unionAll(tables[2])), {}, describer="named-graph")
+    t = e.query("DESCRIBE <urn:g:region> <urn:g:nation> <urn:g:none>").triples
+    return t.groupBy(F.regexp_extract("s.lex", "^urn:row:(.*)/", 1).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["describe_named_graph"] = describe_named_graph
+SQL["describe_named_graph"] = "SELECT 'region' AS t, 3 * count(*) AS n FROM region UNION ALL SELECT 'nation', 5 * count(*) FROM nation"

@@ -1,4 +1,4 @@
-"""DESCRIBE: seven ways to choose the triples that describe a resource."""
+"""DESCRIBE: eight ways to choose the triples that describe a resource."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from graphloom.staging import kept
 if TYPE_CHECKING:
     from graphloom.plans.compiler import Compiler
 
-WAYS = ("cbd", "symmetric", "subject", "object", "simple", "labelled", "minimal-spanning")
+WAYS = ("cbd", "symmetric", "subject", "object", "simple", "labelled", "minimal-spanning", "named-graph")
 
 
 def triples_of(c: Compiler) -> DataFrame:
@@ -39,12 +39,18 @@ def resources(c: Compiler, q: A.Query) -> DataFrame:
 
 def describe(c: Compiler, q: A.Query, way: str = "cbd") -> DataFrame:
     """cbd: outgoing triples, and those of blank nodes reached; symmetric: also incoming ones; subject, object: only outgoing or
-    incoming; simple: both; labelled: outgoing ones and the rdfs:label of the blank nodes they name; minimal-spanning: both ways through blank nodes."""
+    incoming; simple: both; labelled: outgoing ones and the rdfs:label of the blank nodes they name; minimal-spanning: both ways through blank nodes;
+    named-graph: what the graphs of those names hold."""
     if way not in WAYS:
         raise ValueError(f"no way {way} to describe")
     all_ = triples_of(c)
     front = kept(resources(c, q), "described")
 
+    if way == "named-graph":
+        held = c.source.star([A.Triple(A.Var("s"), A.Var("p"), A.Var("o"))], A.Var("g"))[0].terms().df
+        found = held.join(front.select(F.col("n").alias("?g")), "?g", "left_semi")
+        return found.select(*(F.col(f"`?{x}`").alias(x) for x in "spo")).distinct()
+
     def leaving(nodes: DataFrame) -> DataFrame:
         return all_.join(nodes, all_["s"] == nodes["n"], "left_semi")
 
