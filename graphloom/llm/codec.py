@@ -8,7 +8,8 @@ order 2 is and how likely the lower orders find that id, by counts learned for e
 whether it is the id; if not, the id is coded by the sum of orders 1 and 0 without it. A carryless 64-bit range coder in each
 lane turns shares into 16-bit words.
 
-Places in the sum of both orders are kept as one sorted array over all contexts, so that an id is found by one binary search.
+Places in the sum of both orders lie in one array over all contexts. The encoder numbers all pairs of its block once, so that an id's
+place is a look-up; the decoder finds it by a guide, which has as many ranges for a context as the context has places.
 
 A block: magic, header (counts, lengths, checksums), the documents' ids and lengths, the lanes' word counts, the words. Blocks
 can be decoded alone, and a file is blocks one after the other.
@@ -25,7 +26,7 @@ import numpy as np
 
 MAGIC = b"GLCM"
 HEAD = struct.Struct("<4sHHIIIIIIII")
-VERSION = 2
+VERSION = 3
 MAX_LANES, LEAST_STEPS = 8192, 128
 #: Bits of the flag's share, of the sum of orders 0 and 1, of order 0's shares in it, and of the table of order 2.
 FLAG_BITS, SUM_BITS, SHARE_BITS, TABLE_BITS = 16, 30, 19, 19
@@ -47,7 +48,9 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """What both sides know of the ids of the chunks so far."""
 
-    def __init__(self, vocab: int):
+    def __init__(self, vocab: int, guided: bool = False):
+        """guided: whether ids are to be found by their places."""
+        self.guided = guided
         self.vocab, self.bits, self.share_bits = vocab, max(1, (vocab - 1).bit_length()), max(SHARE_BITS, vocab.bit_length() + 3)
         self.weight_bits = SUM_BITS - self.share_bits
         #: ids and pairs of ids, and tables, in the narrowest type
@@ -56,13 +59,13 @@ class Model:
         none = np.zeros(0, np.int64)
         self.learn(none, none, none, none, none)
 
-    def learn(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray, states: np.ndarray, hits: np.ndarray) -> None:
-        """All ids so far with the one and the two before; states and hits: those of the last chunk that had a guess."""
+    def learn(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray, states: np.ndarray, hits: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """All ids so far with the one and the two before; states and hits: those of the last chunk that had a guess; known: the
+        distinct pairs of the last id and the id in order, and how often each occurs, where that was counted."""
         bits, vocab, one, kind = self.bits, self.vocab, 1 << self.share_bits, self.kind
         ids, last, before = (x.astype(np.int64) for x in (ids, last, before))
-        pairs, n = counted((last << bits | ids).astype(self.pair_kind))
-        self.pairs = np.r_[pairs, np.full(1, np.iinfo(self.pair_kind).max, self.pair_kind)]
-        pairs = pairs.astype(np.int64)
+        pairs, n = known or counted((last << bits | ids).astype(self.pair_kind))
+        keys, pairs = pairs, pairs.astype(np.int64)
         of, x = pairs >> bits, pairs & ((1 << bits) - 1)
         # order 0: by the number of ids that each followed
         share = np.bincount(x, minlength=vocab) * (one - vocab) // max(1, len(pairs)) + 1
@@ -83,10 +86,16 @@ class Model:
         end = weight1 * ((sums << self.share_bits) // total) + weight0 * below[x + 1]
         # places of all contexts in one array, each with its bounds, its id, and what order 0 has up to it; a context begins with a place of no id
         at = np.arange(len(pairs)) + of + 1
-        self.place, self.entry = np.empty(len(pairs) + vocab, np.int64), np.zeros((len(pairs) + vocab, 4), kind)
-        self.place[heads + np.arange(vocab)] = np.arange(vocab) << SUM_BITS
-        self.place[at] = of << SUM_BITS | low
-        self.entry[at] = np.stack([low, end, x, below[x + 1]], axis=1)
+        self.entry = np.zeros((len(pairs) + vocab, 4), kind)
+        for column, values in enumerate((low, end, x, below[x + 1])):
+            self.entry[at, column] = values
+        if self.guided:  # ranges of a context: a power of two, no fewer than its places; up to each, how many places there are
+            fine = np.frexp(kinds.astype(np.float64))[1]
+            self.coarse, ranges = SUM_BITS - fine, np.int64(1) << fine
+            self.ranges = np.cumsum(ranges) - ranges
+            there = np.bincount(self.ranges[of] + (low >> self.coarse[of]), minlength=int(ranges.sum()))
+            there[self.ranges] += 1
+            self.guide, self.begins = np.r_[0, np.cumsum(there)].astype(kind) - 1, self.entry.ravel()
         # order 2: the most frequent follower of each pair of ids, in a table by hash of the pair
         triples, n = counted((last << 2 * bits) | (before << bits) | ids)
         context = triples >> bits
@@ -95,7 +104,7 @@ class Model:
         best = np.maximum.reduceat(n << bits | (triples & ((1 << bits) - 1)), first) if len(first) else first
         seen, best, guess = (np.add.reduceat(n, first) if len(first) else first), best >> bits, best & ((1 << bits) - 1)
         sure = (best * 8 - 1) // np.maximum(seen, 1) * 4 + (best > 1) + (best > 2) + (best > 5)
-        where = np.searchsorted(self.pairs, ((context >> bits) << bits | guess).astype(self.pair_kind))
+        where = np.searchsorted(keys, ((context >> bits) << bits | guess).astype(self.pair_kind))
         level = np.clip(np.frexp((end - low).astype(np.float64))[1] - SUM_BITS + LEVELS - 1, 0, LEVELS - 1)[where]  # by powers of two
         rows = np.stack([context.astype(kind), (guess << STATE_BITS | (sure * LEVELS + level)).astype(kind), low[where].astype(kind), end[where].astype(kind)], axis=1)
         self.table = np.full((1 << TABLE_BITS, 4), -1, kind)
@@ -111,6 +120,19 @@ class Model:
     def slot(context: np.ndarray) -> np.ndarray:
         return (context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).view(np.int64)
 
+    def found(self, context: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The last place of each context that is no greater than the value, by number."""
+        i = self.ranges.take(context) + (value >> self.coarse.take(context))
+        low, high = self.guide.take(i), self.guide.take(i + 1)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            a, b = low[open_], high[open_]
+            middle = (a + b + 1) >> 1
+            fits = self.begins.take(middle * 4) <= value[open_]
+            low[open_], high[open_] = np.where(fits, middle, a), np.where(fits, b, middle - 1)
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
     def guessed(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
         """Whether there is a guess, the flag's share (0 without one), the guessed id, its bounds, and the state."""
         context = last << self.bits | before
@@ -120,11 +142,26 @@ class Model:
         return any_, self.flag.take(state) * any_, row[:, 1] >> STATE_BITS, row[:, 2], row[:, 3], state
 
 
+def numbered(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and the number of each pair among them."""
+    if pairs.itemsize > 4 or len(pairs) > 1 << 32:
+        return np.unique(pairs, return_inverse=True)
+    both = np.sort(pairs.astype(np.uint64) << U32 | np.arange(len(pairs), dtype=np.uint64))
+    at, keys = (both & np.uint64((1 << 32) - 1)).view(np.int64), (both >> U32).astype(pairs.dtype)
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    out = np.empty(len(pairs), np.int32 if len(pairs) < 1 << 31 else np.int64)
+    out[at] = np.cumsum(new) - 1
+    return keys[new], out
+
+
 def chunks(steps: int) -> Iterator[tuple[int, int]]:
-    """Chunks of steps, each as long as all before it."""
+    """Chunks of steps, each about as long as all before it; in long blocks the last two thirds are one."""
+    cuts, at = [steps], steps // (3 if steps >= 256 else 2)
+    while at:
+        cuts.append(at)
+        at //= 2
     at = 0
-    while at < steps:
-        to = min(steps, max(1, 2 * at))
+    for to in reversed(cuts if steps else []):
         yield at, to
         at = to
 
@@ -156,6 +193,9 @@ def encoded(ids: np.ndarray, vocab: int) -> tuple[bytes, int]:
     cap = 64
     words, used = np.zeros((cap, lanes), np.uint16), np.zeros(lanes, np.int64)
     whole, flag = 1 << SUM_BITS, 1 << FLAG_BITS
+    pairs, number = numbered((past[1 : steps + 1].astype(model.pair_kind) << model.pair_kind(model.bits) | past[2:].astype(model.pair_kind)).ravel())
+    seen = np.zeros(len(pairs), np.int64)
+    place = np.zeros(len(pairs), np.int32 if len(pairs) < 1 << 30 else np.int64)  # twice the number of pairs before that were seen, and whether this one was
 
     def renew() -> None:
         nonlocal words, cap
@@ -178,10 +218,9 @@ def encoded(ids: np.ndarray, vocab: int) -> tuple[bytes, int]:
             hit = any_ & (guess == x)
             states.append(state[any_])
             hits.append(hit[any_])
-            key = (last << model.bits | x).view(model.pair_kind)
-            i = np.searchsorted(model.pairs, key)
-            own = model.pairs.take(i) == key
-            row = model.entry.take(i + last + own, axis=0)
+            i = place.take(number[c * lanes : d * lanes])
+            own = (i & 1).astype(bool)
+            row = model.entry.take((i >> 1) + last + own, axis=0)
             s, width = row[:, 0].astype(np.int64), (row[:, 1] - row[:, 0]).astype(np.int64)
             new = np.flatnonzero(~own)  # ids that never followed the last one lie between two places
             y, rest = x[new], model.weight0[last[new]]
@@ -199,7 +238,10 @@ def encoded(ids: np.ndarray, vocab: int) -> tuple[bytes, int]:
                 size = s_size[t] * r
                 renew()
         if b < steps:
-            model.learn(past[2 : b + 2].ravel(), past[1 : b + 1].ravel(), past[:b].ravel(), np.concatenate(states), np.concatenate(hits))
+            seen += np.bincount(number[a * lanes : b * lanes], minlength=len(seen))
+            there = seen > 0
+            place[:] = 2 * (np.cumsum(there) - there) + there
+            model.learn(past[2 : b + 2].ravel(), past[1 : b + 1].ravel(), past[:b].ravel(), np.concatenate(states), np.concatenate(hits), (pairs[there], seen[there]))
     if int(used.max()) + 2 > cap:
         words = np.vstack([words, np.zeros((2, lanes), np.uint16)])
     low = (low + np.uint64((1 << 32) - 1)) >> U32  # two words that lie in the range, whatever follows
@@ -220,7 +262,7 @@ def decoded(payload: bytes, n: int, lanes: int, vocab: int) -> np.ndarray:
     steps = -(-n // lanes)
     code = (data[at] << U48) | (data[at + 1] << U32) | (data[at + 2] << U16) | data[np.minimum(at + 3, len(data) - 1)]
     at = at + 4
-    model = Model(vocab)
+    model = Model(vocab, guided=True)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     past = np.zeros((steps + 2, lanes), model.kind)
     whole, flag = 1 << SUM_BITS, 1 << FLAG_BITS
@@ -252,7 +294,7 @@ def decoded(payload: bytes, n: int, lanes: int, vocab: int) -> np.ndarray:
                 v = np.minimum((code[m] - from_) // r, total - ONE).view(np.int64)
                 skip = held * (v >= g)
                 v += skip
-                row = model.entry.take(np.searchsorted(model.place, c << SUM_BITS | v, "right") - 1, axis=0)
+                row = model.entry.take(model.found(last[m], v), axis=0)
                 y, s, width = row[:, 2], row[:, 0].astype(np.int64), (row[:, 1] - row[:, 0]).astype(np.int64)
                 new = np.flatnonzero(v >= row[:, 1])  # between two places
                 rest, end, next_ = model.weight0[c[new]], row[new, 1], row[new, 3]

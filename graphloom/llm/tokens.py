@@ -10,14 +10,16 @@ order of their texts' hashes; a text longer than a block makes a longer block; a
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,6 @@ BLOCK_TOKENS = 1 << 21
 END_ID = 0
 
 
-
 class Known(dict):
     """Numbers of words; a word that isn't known yet gets the next one, and is noted."""
 
@@ -42,6 +43,115 @@ class Known(dict):
         return out
 
 
+class Merges:
+    """Byte-pair merges of many pieces at once. In each round every piece merges all places of its pair of lowest rank, from the left;
+    that is the order of one merge after the other, as each merge's parts are made by earlier merges (`merges_of` sees to it).
+
+    A symbol is the rank of the pair that it begins, and its id; a piece ends with a symbol of no id, which begins no pair."""
+
+    NO_ID, LATE, END = np.uint32(0xFFFF), np.uint32(0xFFFF), np.uint32(0xFFFFFFFF)
+    #: Bytes from here on begin characters of which the regular expression may think otherwise than Python.
+    FOREIGN = 0xC9
+
+    def __init__(self, first: np.ndarray, pairs: np.ndarray, made: np.ndarray):
+        """first: the id of each byte; pairs (left << 16 | right) and the ids they make, by rank. Ids and ranks are below 65,534."""
+        self.first, self.made, self.tables = first.astype(np.uint32), made.astype(np.uint32), []
+        self.first[10] = self.NO_ID
+        left, bits = np.arange(len(pairs)), max(4, (4 * len(pairs)).bit_length())
+        while len(left):  # what loses its slot goes to the next table
+            turn = np.uint32(0x9E3779B1 + 2 * 0x3C6EF372 * len(self.tables) & 0xFFFFFFFF)
+            slot = pairs[left] * turn >> np.uint32(32 - bits)
+            table = np.full(1 << bits, self.END, np.uint64)
+            table[slot] = pairs[left].astype(np.uint64) << np.uint64(32) | left.astype(np.uint64)
+            self.tables.append((table, turn, np.uint32(32 - bits)))
+            left, bits = left[table[slot] & np.uint64(0xFFFFFFFF) != left.astype(np.uint64)], max(4, bits - 2)
+
+    def symbols(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The symbols of ids a that ids b follow."""
+        key = a << np.uint32(16) | b
+        rank = np.full(len(key), self.LATE)
+        for table, turn, shift in self.tables:
+            row = table.take(key * turn >> shift)
+            np.copyto(rank, row.astype(np.uint32), where=(row >> np.uint64(32)).astype(np.uint32) == key)
+        return rank << np.uint32(16) | a
+
+    def __call__(self, pieces: list[str], at_once: int = 16384) -> list[bytes | None]:
+        """Ids of each piece as 16-bit numbers; None for those with foreign characters. No piece is empty or holds a line's end."""
+        out: list[bytes | None] = []
+        for i in range(0, len(pieces), at_once):
+            some = pieces[i : i + at_once]
+            out += self.merged("\n".join(["", *some, ""]).encode("utf-8", "surrogatepass"), len(some))
+        return out
+
+    def merged(self, lines: bytes, n: int) -> list[bytes | None]:
+        raw = np.frombuffer(lines, np.uint8)
+        token = self.first.take(raw)
+        x = np.append(self.symbols(token[:-1], token[1:]), self.END)  # an end's symbol: late, and no id
+        out: list[bytes | None] = [None] * n
+        who = np.arange(n)
+        while True:
+            ends = np.flatnonzero(x == self.END)
+            heads, length = ends[:-1] + 1, np.diff(ends)
+            best = np.minimum.reduceat(x, heads) >> np.uint32(16)
+            open_ = best < self.LATE
+            left = int(np.count_nonzero(open_))
+            if 4 * left <= 3 * len(open_):  # finished pieces leave
+                stay = np.repeat(open_, length)
+                flat = (x[1:][~stay] & self.NO_ID).astype(np.uint16).tobytes()
+                to = (2 * np.cumsum(length[~open_])).tolist()
+                for i, a, b in zip(who[~open_].tolist(), [0, *to], to, strict=False):
+                    out[i] = flat[a : b - 2]
+                if not left:
+                    break
+                x, who, best, length = np.append(self.END, x[1:][stay]), who[open_], best[open_], length[open_]
+            best[best == self.LATE] = self.LATE - 1
+            hit = np.flatnonzero(x[1:] >> np.uint32(16) == np.repeat(best, length)) + 1
+            follows = hit[1:] - hit[:-1] == 1
+            if follows.any():  # of places that overlap every other one, from the left
+                follows = np.r_[False, follows]
+                run = np.maximum.accumulate(np.where(follows, 0, np.arange(len(hit))))
+                hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            x[hit] = self.made.take(x[hit] >> np.uint32(16))
+            keep = np.ones(len(x), bool)
+            keep[hit + 1] = False
+            x = x[keep]
+            hit -= np.arange(len(hit))
+            token = x[hit]
+            before, after = x[hit - 1] & self.NO_ID, x[hit + 1] & self.NO_ID
+            x[hit] = self.symbols(token, after)
+            some = before != self.NO_ID
+            hit, before, token = hit[some] - 1, before[some], token[some]
+            x[hit] = self.symbols(before, token)
+        if raw.max(initial=0) >= self.FOREIGN:
+            for i in np.unique(np.searchsorted(np.flatnonzero(raw == 10), np.flatnonzero(raw >= self.FOREIGN)) - 1).tolist():
+                out[i] = None
+        return out
+
+
+def merges_of(config: str) -> Merges | None:
+    """The merges of a tokenizer, if it is one whose pieces of letters they alone decide."""
+    made = json.loads(config)
+    model, vocab = made["model"], made["model"].get("vocab")
+    split = {k: v for k, v in (made.get("pre_tokenizer") or {}).items() if k in ("type", "add_prefix_space", "use_regex")}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or made.get("normalizer") or split != {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} or max([*vocab.values(), len(model["merges"])]) >= Merges.LATE - 1:
+        return None
+    if any(all(c.isalpha() or c == " " for c in t["content"]) for t in made.get("added_tokens", [])):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}  # how byte-level tokenizers write bytes
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    if not pairs or len(set(pairs)) < len(pairs) or any(c not in vocab for c in letter.values()) or any(x not in vocab for a, b in pairs for x in (a, b, a + b)):
+        return None
+    rank: dict[str, int] = {}
+    for i, (a, b) in enumerate(pairs):
+        rank[a + b] = i  # the latest merge that makes it
+    if any(rank.get(a, -1) >= i or rank.get(b, -1) >= i for i, (a, b) in enumerate(pairs)):
+        return None
+    return Merges(np.array([vocab[letter[b]] for b in range(256)]), np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32), np.array([vocab[a + b] for a, b in pairs]))
+
+
 class Words:
     """Ids of texts. A space between two characters that aren't white space always starts a new piece of the byte-level
     pre-tokenizer, and a line's end between two such characters is a piece, so that what lies between can be encoded alone, once
@@ -57,19 +167,15 @@ class Words:
         begins = [i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]  # how this pre-tokenizer writes a space
         self.spaced = np.zeros(self.vocab, bool)
         self.spaced[begins] = True
-        self.splits = self.safe()
+        self.splits, self.merges = self.safe(), merges_of(self.tokenizer.to_str())
         self.forget()
 
     def forget(self) -> None:
         """Words by number: their ids lie in one array, from starts on, sizes of them."""
-        self.known, self.ends, self.odd = Known(), {"": b""}, set()
+        self.known, self.ends = Known(), {"": b""}
         self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 18, self.kind), 0
 
-    def of(self, number: int) -> bytes:
-        start = self.starts[number]
-        return self.flat[start : start + self.sizes[number]].tobytes()
-
     def safe(self) -> bool:
         """Whether this tokenizer treats white space in that way, tried on a sample."""
         a, b, c = "one two,three", "five!", "six 7."
@@ -95,69 +201,114 @@ class Words:
         return (out, word[len(out) :]) if out and out[-1].isalpha() else (word, "")
 
     def learn(self, words: list[str]) -> None:
-        """Ids of new words, in the order of their numbers: each is made of stems, ends, and line's ends between them. Only stems that
-        aren't known are encoded, and words with other white space are marked."""
-        first = len(self.known) - len(words)
-        cut = [(w, "") if w.isalpha() else self.parts(w) if "\n" not in w else None for w in words]
+        """Ids of new words, in the order of their numbers: each is made of stems, ends, and line's ends between them. Words whose stems
+        are letters are merged all at once."""
+        first, made, left = len(self.known) - len(words), [b""] * len(words), range(len(words))
+        if self.merges:
+            stems, tails, at, lines, left, marks = [], [], [], [], [], string.punctuation
+            for i, w in enumerate(words):
+                if w.isalpha():
+                    stems.append(w), tails.append(""), at.append(i)
+                elif "\n" not in w:
+                    s = w.rstrip(marks)
+                    if s.isalpha():
+                        stems.append(s), tails.append(w[len(s) :]), at.append(i)
+                    else:
+                        left.append(i)
+                else:
+                    parts = [self.parts(x) for x in w.split("\n")]
+                    if all([x.isalpha() for x, _ in parts]):
+                        lines.append((i, parts))
+                    else:
+                        left.append(i)
+            inner = [x for _, parts in lines for x, _ in parts[1:]]  # a line's first word has no space before it
+            spaced = [f" {x}" for x in stems] + [f" {parts[0][0]}" for _, parts in lines]
+            ids = self.merges(spaced + inner)
+            self.ends_of(["\n", *tails, *(y for _, parts in lines for _, y in parts)])
+            ends = self.ends
+            for i, x, y in zip(at, ids, tails, strict=False):
+                if x is None:
+                    left.append(i)
+                else:
+                    made[i] = x + ends[y]
+            head, rest, newline = iter(ids[len(stems) : len(spaced)]), iter(ids[len(spaced) :]), ends["\n"]
+            for i, parts in lines:
+                got = [next(head), *(next(rest) for _ in parts[1:])]
+                if None in got:
+                    left.append(i)
+                else:
+                    made[i] = newline.join([x + ends[y] for x, (_, y) in zip(got, parts, strict=True)])
+        if left:
+            left = sorted(left)
+            for i, x in zip(left, self.looked_up([words[i] for i in left]), strict=True):
+                made[i] = x
+        flat = np.frombuffer(b"".join(made), self.kind)
+        sizes = np.fromiter(map(len, made), np.int32, len(made)) // flat.itemsize
+        while len(self.known) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.starts[first : len(self.known)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : len(self.known)] = sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def ends_of(self, wanted: list[str]) -> None:
+        """Notes the ids of ends and of first words of lines, which come again and again."""
+        wanted = [x for x in set(wanted) if x not in self.ends]
+        self.ends.update(zip(wanted, self.encode(wanted), strict=True))
+
+    def looked_up(self, words: list[str]) -> list[bytes]:
+        """Ids of words by the library, each of its stems once; none for words with other white space."""
+        cut = [self.parts(w) if "\n" not in w else None for w in words]
         lines = {w: [self.parts(x) for x in w.split("\n")] for w, c in zip(words, cut, strict=True) if c is None}
         stems = {c[0] for c in cut if c} | {x[0][0] for x in lines.values()}
         odd = {x for x in stems if x.split() != [x]}
-        get, ids = self.known.get, {}
-        for x in stems - odd:
-            n = get(x, first)
-            ids[x] = self.of(n) if n < first else None
-        new = [x for x, got in ids.items() if got is None]
+        new, ids = list(stems - odd), {}
         for i in range(0, len(new), 2000):
             ids.update(zip(new[i : i + 2000], self.encode_pieces(new[i : i + 2000]), strict=True))
-        # a line's first word has no space before it; those and ends come again and again
-        wanted = {c[1] for c in cut if c} | {x for parts in lines.values() for _, x in parts} | {"\n" + x for parts in lines.values() for x, _ in parts[1:]}
-        wanted = [x for x in wanted if x not in self.ends]
-        self.ends.update(zip(wanted, self.encode(wanted), strict=True))
+        self.ends_of([*(c[1] for c in cut if c), *(x for parts in lines.values() for _, x in parts), *("\n" + x for parts in lines.values() for x, _ in parts[1:])])
         ends, out = self.ends, []
-        for i, (word, c) in enumerate(zip(words, cut, strict=True), first):
+        for word, c in zip(words, cut, strict=True):
             if c:
-                made = b"" if c[0] in odd else ids[c[0]] + ends[c[1]]
+                out.append(b"" if c[0] in odd else ids[c[0]] + ends[c[1]])
             else:
                 parts = lines[word]
                 bad = parts[0][0] in odd or any(x.split() != [x] for x, _ in parts[1:])
-                made = b"" if bad else ids[parts[0][0]] + ends[parts[0][1]] + b"".join([ends["\n" + x] + ends[y] for x, y in parts[1:]])
-            if not made:
-                self.odd.add(i)
-            out.append(made)
-        flat = np.frombuffer(b"".join(out), self.kind)
-        sizes = np.array([len(o) for o in out], np.int32) // flat.itemsize
-        while len(self.known) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.starts[first : len(self.known)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[first : len(self.known)] = sizes
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
+                out.append(b"" if bad else ids[parts[0][0]] + ends[parts[0][1]] + b"".join([ends["\n" + x] + ends[y] for x, y in parts[1:]]))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as bytes of the kind."""
-        if not self.splits:
+        if not self.splits or not texts:
             return self.encode(texts)
         if len(self.known) > self.most:
             self.forget()
-        pieces = [t.split(" ") for t in texts]
-        known, count = self.known, [len(p) - 1 for p in pieces]
-        number = np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, p[1:]) for p in pieces), np.int64, sum(count))
+        pieces = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        bounds, coded = np.asarray(pieces.offsets).astype(np.int64), pieces.flatten().dictionary_encode()
+        count, of, first = np.diff(bounds) - 1, np.asarray(coded.indices), bounds[:-1]
+        begins = coded.dictionary.take(pa.array(of[first])).to_pylist()
+        of = np.delete(of, first)
+        used = np.zeros(len(coded.dictionary), bool)  # each distinct word is looked up once
+        used[of] = True
+        known, at = self.known, np.flatnonzero(used)
+        words = coded.dictionary.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         if known.new:
             new, known.new = known.new, []
             self.learn(new)
         # texts with other white space than single spaces and line's ends between other characters are encoded whole
-        plain = [p[0] != "" and not p[0][-1].isspace() for p in pieces]
-        if self.odd:
-            own = np.repeat(np.arange(len(pieces)), count)
-            for i in np.unique(own[np.isin(number, np.fromiter(self.odd, np.int64))]).tolist():
-                plain[i] = False
-        size, start = self.sizes.take(number), self.starts.take(number)
+        plain = [x != "" and not x[-1].isspace() for x in begins]
+        sizes, starts = np.zeros(len(used), np.int32), np.zeros(len(used), np.int32)
+        sizes[at], starts[at] = self.sizes.take(number), self.starts.take(number)
+        size, start = sizes.take(of), starts.take(of)
+        none = np.flatnonzero(size == 0)
+        for i in np.unique(np.searchsorted(np.cumsum(count), none, "right")).tolist():
+            plain[i] = False
         ends = np.cumsum(size)
         ids = self.flat.take(np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)).tobytes()
         edges = (np.r_[0, ends][np.r_[0, np.cumsum(count, dtype=np.int64)]] * self.flat.itemsize).tolist()
-        heads = self.encode([p[0] if ok else t for t, ok, p in zip(texts, plain, pieces, strict=True)])
+        heads = self.encode([x if ok else t for t, ok, x in zip(texts, plain, begins, strict=True)])
         return [h + ids[a:b] if ok else h for h, ok, a, b in zip(heads, plain, edges, edges[1:], strict=False)]
 
 
@@ -185,7 +336,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id",
             names, lengths, held, size, number = [], [], [], 0, number + 1
             return out
 
-        for ids, texts in texts_in(batches, ["__id", "__text"]):
+        for ids, texts in texts_in(batches, ["__id", "__text"], rows=2048):
             for name, coded in zip(ids, words([t or "" for t in texts]), strict=True):
                 held += (coded, end)
                 names.append(name)

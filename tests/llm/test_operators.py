@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, exact round trips or held-out accuracy, and the edge cases of its docstring."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -274,6 +275,51 @@ def test_words_agree_with_the_tokenizer():
         assert np.frombuffer(b, w.kind).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_merges_agree_with_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(tokenizer_path()), random.Random(6)
+    merges = tokens.merges_of(whole.to_str())
+    made = ["".join(rng.choices("etaoinshrdlu" if k % 3 else "aeéèüßçñžøABZz", k=rng.randint(1, 14))) for k in range(3000)]
+    pieces = [(" " if k % 2 else "") + w for k, w in enumerate(["a", "aaaa", "aaaaa", "zzzzzzz", "e" * 300, "日本", "ɐb", "наука", *made])]
+    got = merges(pieces, at_once=700)
+    assert [p for p, g in zip(pieces, got, strict=True) if g is None] == [pieces[i] for i in (5, 6, 7)]
+    for p, g in zip(pieces, got, strict=True):
+        assert g is None or np.frombuffer(g, np.uint16).tolist() == whole.encode(p, add_special_tokens=False).ids
+    # where a merge needs a token that a later one makes, another order could come out
+    config = json.loads(whole.to_str())
+    config["model"]["merges"].reverse()
+    assert tokens.merges_of(json.dumps(config)) is None
+
+
+def test_new_words_of_letters_are_merged_together(monkeypatch):
+    """Words that were never seen go through no call of the library each; that was most of the work."""
+    w, asked = tokens.Words(tokenizer_path()), []
+    monkeypatch.setattr(w, "encode_pieces", lambda words: asked.extend(words) or [b""] * len(words))
+    w(["First xqzlum, yvoräch. Brimçon!\nOrdlef mubtan *** plain*** end"] * 2)
+    assert asked == ["***"]
+
+
+def test_places_are_found():
+    """The guide's place is that of a search through all places, and numbers of pairs are those of the distinct pairs in order."""
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.zipf(1.2, 30_000) - 1, 499).astype(np.int64)
+    none = np.zeros(0, np.int64)
+    model = codec.Model(500, guided=True)
+    model.learn(ids[2:], ids[1:-1], ids[:-2], none, none)
+    context, value = rng.integers(0, 500, 20_000), rng.integers(0, 1 << codec.SUM_BITS, 20_000)
+    pairs, n = codec.counted(ids[1:-1] << model.bits | ids[2:])
+    of = np.sort(np.r_[np.arange(500), pairs >> model.bits])  # a place without an id, then those of the context
+    places = of << codec.SUM_BITS | model.entry[:, 0]
+    assert (np.diff(places) >= 0).all()
+    assert (model.found(context, value) == np.searchsorted(places, context << codec.SUM_BITS | value, "right") - 1).all()
+    for kind in (np.uint32, np.uint64):
+        some = rng.integers(0, 900, 5000).astype(kind)
+        keys, number = codec.numbered(some)
+        want = np.unique(some, return_inverse=True)
+        assert (keys == want[0]).all() and (number == want[1]).all()
+
+
 def test_token_files(spark, docs, odd, tmp_path):
     from tokenizers import Tokenizer
 
