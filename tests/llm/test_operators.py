@@ -394,6 +394,21 @@ def test_nearest_edges(spark):
     assert neighbours.nearest(df.filter("vec_id in (0, 5)")).collect()[0][:3] == (0, 1, 5)
 
 
+def test_nearest_of_queries_far_from_all_others(spark):
+    """Where the buckets that are looked into hold too few vectors, all are ranked."""
+    rng, axis = np.random.default_rng(3), np.eye(16)[0]
+    rows = [(i, (axis + 0.05 * rng.normal(size=16)).tolist()) for i in range(1, 3000) if i % 50]
+    rows += [(5000, (-axis).tolist()), (5050, (np.eye(16)[1] * 0.1 - axis).tolist())]
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 50).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    x = np.array([v for _, v in rows])
+    for q, v in rows[-2:]:
+        score = neighbours.cosines(np.broadcast_to(np.array(v), x.shape), x)
+        assert got[q] == [(i, -s) for s, i in sorted((-float(s), i) for s, (i, _) in zip(score, rows, strict=True) if i != q)[:5]]
+    assert len(got) == 2
+
+
 # decontamination
 
 
