@@ -1,5 +1,6 @@
 """Result documents, parameters, plans and limits of time."""
 
+import gzip
 import time
 
 import pytest
@@ -97,3 +98,29 @@ def test_weights_order_patterns(odd):
     assert dict(weighted.weights)["urn:x#p"] == 6
     a, b = (A.Triple(A.Var("s"), A.Iri(f"urn:x#{p}"), A.Var("o")) for p in "pq")
     assert weighted.ranked([a, b]) == [b, a] and odd.ranked([a, b]) == [a, b]
+
+
+@pytest.mark.parametrize("how", ["turtle", "ntriples", "rdfxml", "rdfjson", "jsonld", "nquads", "trig", "trix", "csv", "tsv"])
+def test_large_graphs_become_several_documents(spark, tmp_path, how):
+    """However few parts are asked for, no document has over MOST_ROWS rows, a subject that has more rows among them."""
+    n = files.MOST_ROWS + 5_000
+    terms = [(0, F.concat(F.lit("urn:s:"), F.when(F.col("id") < n, -1).otherwise(F.floor(F.col("id") / 3)))), (2, F.concat(F.col("id"), F.lit(' "é"\n<&>')))]
+    s, o = (F.struct(F.lit(kind).alias("kind"), lex.alias("lex"), F.lit("http://www.w3.org/2001/XMLSchema#string" if kind else None).alias("dt"), F.lit(None).cast("string").alias("lang")) for kind, lex in terms)
+    quads = spark.range(n + 9_000).select(s.alias("s"), F.lit("urn:x#p").alias("p"), o.alias("o"), F.lit("urn:g" if how in ("nquads", "trig", "trix", "csv", "tsv") else None).cast("string").alias("g"))
+    files.write_documents(quads, str(tmp_path), how, compressed=how == "trig", parts=1)
+    got = files.read_files(spark, str(tmp_path), how).quads
+    assert got.count() == quads.count() and got.select("s.lex", "p", F.col("o.lex").alias("o"), "g").exceptAll(quads.select("s.lex", "p", F.col("o.lex").alias("o"), "g")).isEmpty()
+    lines = [len(gzip.decompress(p.read_bytes()) if p.suffix == ".gz" else p.read_bytes()) for p in tmp_path.glob("part-*")]
+    assert len(lines) > 1 and max(lines) < 0.8 * sum(lines)
+
+
+def test_rows_are_cut_between_subjects_or_within_a_large_one():
+    def rows(subject, n, ow="<urn:o>"):
+        return [files.Written(files.Term(0, subject, None, None), "urn:p", files.Term(0, "urn:o", None, None), None, f"<{subject}>", ow) for _ in range(n)]
+
+    most = files.MOST_ROWS
+    one = rows("urn:a", most // 2 + 1) + rows("urn:b", 2 * most + 1) + rows("urn:c", 2)
+    cut = list(files.cut(iter(one)))
+    assert [len(x) for x in cut] == [most // 2 + 1, most, most, 3] and [r for x in cut for r in x] == one
+    long = rows("urn:a", 3, "x" * files.MOST_CHARS)
+    assert [len(x) for x in files.cut(iter(long))] == [1, 1, 1]
