@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.engine import Engine, QueryTimeout
+from graphloom.operators import shacl
 from graphloom.plans import algebra as A
 from graphloom.plans.parameters import Parameterized
 from graphloom.sources import files, results
+from graphloom.sources.quads import QuadSource
 from graphloom.store import Store
 
 ODD = '@prefix : <urn:x#> . :a :p "x\\\\ny\\"q\\n\\t z"@en , 3, 1.5, true, _:b ; :q "é,<&>", "" . _:b :p :a .'
@@ -124,3 +126,20 @@ def test_rows_are_cut_between_subjects_or_within_a_large_one():
     assert [len(x) for x in cut] == [most // 2 + 1, most, most, 3] and [r for x in cut for r in x] == one
     long = rows("urn:a", 3, "x" * files.MOST_CHARS)
     assert [len(x) for x in files.cut(iter(long))] == [1, 1, 1]
+
+
+def test_equal_values_are_compared_in_many_tasks(spark):
+    """Pairs (focus, value) of one side only, both ways, and no task has most of them."""
+    term = lambda kind, lex: F.struct(F.lit(kind).alias("kind"), lex.alias("lex"), F.lit("http://www.w3.org/2001/XMLSchema#string" if kind else None).alias("dt"), F.lit(None).cast("string").alias("lang"))
+    n = 8000
+    given = {"urn:x#p": F.col("id"), "urn:x#q": F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(-F.col("id"))}  # every fourth agrees
+    quads = None
+    for p, value in given.items():
+        part = spark.range(n).select(term(0, F.concat(F.lit("urn:s:"), F.col("id"))).alias("s"), F.lit(p).alias("p"), term(2, value.cast("string")).alias("o"), F.lit(None).cast("string").alias("g"))
+        quads = part if quads is None else quads.unionAll(part)
+    shapes = "@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix : <urn:x#> . <urn:S> sh:targetSubjectsOf :p ; sh:property [ sh:path :p ; sh:equals :q ] ."
+    found = shacl.validate(QuadSource(quads.unionAll(quads.limit(10))), shapes)
+    by = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in by) == n * 3 // 4 * 2 and max(r["count"] for r in by) < 0.4 * n * 3 // 4 * 2
+    got = {(r.focus.lex, r.value.lex) for r in found.collect()}
+    assert got == {(f"urn:s:{i}", str(x)) for i in range(n) if i % 4 for x in (i, -i)}
